@@ -19,10 +19,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, tune
+from .common import Memory, map_rows, tune
 
-#: Distinct pieces that a worker remembers; beyond it the memory begins anew.
-REMEMBERED = 300_000
+#: Distinct pieces of each of the two generations that a worker remembers.
+REMEMBERED = 350_000
 
 
 class PerfectHash:
@@ -81,61 +81,64 @@ class Bpe:
         self.whole = PerfectHash(tokens)
         self.rank_of = [self.ranks[t] for t in tokens]
         self.bytes_of = {r: t for t, r in self.ranks.items()}
+        self.byte = [self.ranks[bytes([b])] for b in range(256)]
+        # By two ids, the rank of their bytes together: every way to cut a token into two tokens.
+        known = self.ranks.get
+        self.pair = {a << 20 | b: r for t, r in self.ranks.items() for k in range(1, len(t)) if (a := known(t[:k])) is not None and (b := known(t[k:])) is not None}
         self.pattern = regex.compile(pattern)
         self.edge = regex.compile(r"^\s|\s$")
-        self.seen: dict[str, tuple[int, ...] | None] = {}
+        self.seen = Memory(REMEMBERED)
 
     def merge(self, word: bytes) -> list[int]:
-        """Merges of least rank first, leftmost at ties; stale heap entries are known by the ends of their parts."""
-        ranks, n = self.ranks, len(word)
-        nxt, prv, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+        """Merges of least rank first, leftmost at ties. A heap entry is stale when its two parts no longer make its rank."""
+        pair, n = self.pair.get, len(word)
+        part, nxt, prv = [self.byte[b] for b in word], list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [r * n + i for i in range(n - 1) if (r := pair(part[i] << 20 | part[i + 1])) is not None]
         heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
         while heap:
-            _, i, j, e = heapq.heappop(heap)
-            if end[i] != j or j >= n or nxt[i] != j or end[j] != e:
+            r, i = divmod(pop(heap), n)
+            if (a := part[i]) < 0 or (j := nxt[i]) >= n or pair(a << 20 | part[j]) != r:
                 continue
             after = nxt[j]
-            end[i], nxt[i], end[j] = e, after, -1
+            part[i], nxt[i], part[j] = r, after, -1
             if after < n:
                 prv[after] = i
-                if (r := ranks.get(word[i : end[after]])) is not None:
-                    heapq.heappush(heap, (r, i, e, end[after]))
-            if (p := prv[i]) >= 0 and (r := ranks.get(word[p:e])) is not None:
-                heapq.heappush(heap, (r, p, i, e))
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[word[i : end[i]]])
-            i = nxt[i]
-        return out
+                if (x := pair(r << 20 | part[after])) is not None:
+                    push(heap, x * n + i)
+            if (p := prv[i]) >= 0 and (x := pair(part[p] << 20 | r)) is not None:
+                push(heap, x * n + p)
+        return [x for x in part if x >= 0]
 
     def pre_token(self, token: str) -> list[int]:
         word = token.encode()
         k = self.whole.find(word)
         return [self.rank_of[k]] if k >= 0 else self.merge(word)
 
-    def _piece(self, piece: str) -> tuple[int, ...] | None:
-        """Ids of a text between single spaces; None where it begins or ends in white space, so that its neighbours matter."""
-        if len(self.seen) >= REMEMBERED:
-            self.seen.clear()
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        """Ids of a text between single spaces; (-1,) where it begins or ends in white space, so that its neighbours matter."""
         bare = piece[1:] if piece[:1] == " " else piece
-        out = None if not bare or self.edge.search(bare) else tuple(chain.from_iterable(map(self.pre_token, self.pattern.findall(piece))))
-        self.seen[piece] = out
+        out = (-1,) if not bare or self.edge.search(bare) else tuple(chain.from_iterable(map(self.pre_token, self.pattern.findall(piece))))
+        self.seen.put(piece, out)
         return out
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text. Texts are cut at single spaces, at which every match of the pattern ends."""
         if not text:
             return []
-        seen = self.seen
         pieces = text.split(" ")
         pieces[1:] = [" " + p for p in pieces[1:]]
-        parts = []
-        for p in pieces:
-            ids = seen[p] if p in seen else self._piece(p)
-            if ids is None:
-                return list(chain.from_iterable(map(self.pre_token, self.pattern.findall(text))))
-            parts.append(ids)
+        parts = self.seen.find(pieces)
+        if None in parts:
+            fresh: dict[str, tuple[int, ...]] = {}
+            for i, x in enumerate(parts):
+                if x is None:
+                    p = pieces[i]
+                    if (x := fresh.get(p)) is None:
+                        x = fresh[p] = self._piece(p)
+                    parts[i] = x
+        if (-1,) in parts:
+            return list(chain.from_iterable(map(self.pre_token, self.pattern.findall(text))))
         return list(chain.from_iterable(parts))
 
     def decode(self, ids: list[int]) -> bytes:

@@ -119,6 +119,30 @@ def open_chunk(blob: bytes) -> tuple[list[int | None], list[bytes]]:
     return keys, [x or b"" for x in texts]
 
 
+class Memory:
+    """A dictionary of bounded size in two generations: what is used stays, what is not goes when the young one is full."""
+
+    def __init__(self, size: int) -> None:
+        self.size = size
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def find(self, keys: list) -> list:
+        """The known values (None: unknown) of keys."""
+        out = list(map(self.young.get, keys))
+        if None in out:
+            old = self.old
+            for i, x in enumerate(out):
+                if x is None and (y := old.get(keys[i])) is not None:
+                    out[i] = self.young[keys[i]] = y
+        return out
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class UnionFind:
     """Least member as root."""
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import math
+from array import array
 from functools import lru_cache
 
 import pyarrow as pa
@@ -17,10 +18,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, tune
+from .common import Memory, map_rows, tune
 
 #: Trie nodes that a worker keeps; beyond it the trie begins anew.
 NODES = 1_000_000
+#: Distinct pieces of each of the two generations that a worker remembers.
+REMEMBERED = 300_000
 
 
 def unigram_scores(path: str) -> dict[bytes, float]:
@@ -51,27 +54,26 @@ class Trie:
         self._new()
 
     def _new(self) -> None:
-        self.child: list[dict[int, int] | None] = [None]
-        self.up, self.byte = [-1], [-1]
-        self.best, self.count = [0.0], [0]
+        self.child: dict[int, int] = {}  # by node * 256 + byte
+        self.up, self.byte = array("l", [-1]), array("h", [-1])
+        self.best, self.count = array("d", [0.0]), array("l", [0])
 
     def insert(self, word: bytes) -> int:
         """The terminal node of a word; nodes that are new get their scores."""
         at, child, up, byte, best, count = 0, self.child, self.up, self.byte, self.best, self.count
         for b in word:
-            below = child[at]
-            if below is None:
-                below = child[at] = {}
-            if (nxt := below.get(b)) is None:
-                nxt = below[b] = len(up)
-                child.append(None)
+            key = at << 8 | b
+            if (nxt := child.get(key)) is None:
+                nxt = child[key] = len(up)
                 up.append(at)
                 byte.append(b)
-                walk, node, top, pieces = self.last, nxt, -math.inf, 0
-                while node and (walk := walk.get(byte[node])) is not None:
-                    node = up[node]
+                walk, node, c, top, pieces = self.last, at, b, -math.inf, 0
+                while (walk := walk.get(c)) is not None:
                     if (s := walk.get(-1)) is not None and (x := best[node] + s) > top:
                         top, pieces = x, count[node] + 1
+                    if not node:
+                        break
+                    c, node = byte[node], up[node]
                 best.append(top)
                 count.append(pieces)
             at = nxt
@@ -89,7 +91,7 @@ class Counter:
         self.trie = Trie(unigram_scores(path))
         self.pattern = regex.compile(pattern)
         self.edge = regex.compile(r"^\s|\s$")
-        self.seen: dict[str, tuple[int, int, float] | None] = {}
+        self.seen = Memory(REMEMBERED)
 
     def _of(self, text: str) -> tuple[int, int, float]:
         got = [self.trie.count_of(x.encode()) for x in self.pattern.findall(text)]
@@ -99,20 +101,20 @@ class Counter:
         """(pre-tokens, tokens, score) of a whole text; texts are cut at single spaces, at which every match of the pattern ends."""
         if not text:
             return 0, 0, 0.0
-        seen, pieces, n, k, s = self.seen, text.split(" "), 0, 0, []
+        pieces = text.split(" ")
         pieces[1:] = [" " + p for p in pieces[1:]]
-        for p in pieces:
-            if p not in seen:
-                if len(seen) >= 300_000:
-                    seen.clear()
-                bare = p[1:] if p[:1] == " " else p
-                seen[p] = None if not bare or self.edge.search(bare) else self._of(p)
-            if (got := seen[p]) is None:
-                return self._of(text)
-            n += got[0]
-            k += got[1]
-            s.append(got[2])
-        return n, k, math.fsum(s)
+        parts = self.seen.find(pieces)
+        fresh: dict[str, tuple[int, int, float]] = {}
+        for i, x in enumerate(parts):
+            if x is None:
+                p = pieces[i]
+                if (x := fresh.get(p)) is None:
+                    bare = p[1:] if p[:1] == " " else p
+                    x = fresh[p] = (-1, 0, 0.0) if not bare or self.edge.search(bare) else self._of(p)
+                    self.seen.put(p, x)
+                parts[i] = x
+        n, k, s = zip(*parts, strict=True)
+        return self._of(text) if -1 in n else (sum(n), sum(k), math.fsum(s))
 
 
 @lru_cache(maxsize=2)
