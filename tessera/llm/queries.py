@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, packing, simhash, substrings, token_counts
+from . import bpe, embeddings, licenses, packing, simhash, substrings, token_counts, webp
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -44,8 +44,16 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(_documents(spark, sf_dir), out=("n_words", "n_removed", "kept_sha256"))
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.digest(_documents(spark, sf_dir))
+
+
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_token_counts, op4_simhash, op5_packing, op6_bpe, op7_substring_dedup)
+    f.__name__: f for f in (op1_license_scan, op2_token_counts, op4_simhash, op5_packing, op6_bpe, op7_substring_dedup, op9_media, op10_embedding_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {}
