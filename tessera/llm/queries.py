@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, licenses, packing, simhash, substrings, token_counts, webp
+from . import bpe, embeddings, langid, licenses, mixing, packing, simhash, substrings, token_counts, webp
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,6 +28,17 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(_documents(spark, sf_dir), RANKS, PATTERN)
 
 
+def held_out(key: int | None) -> bool:
+    """One document of seven is not learned from; a null id counts as no text."""
+    return zlib.crc32(b"" if key is None else str(key).encode()) % 7 == 2
+
+
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = mixing.score(_documents(spark, sf_dir), lambda k: not held_out(k))
+    out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
+    return got.withColumn("held_out", out)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = simhash.classes(_documents(spark, sf_dir))
     return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
@@ -44,6 +56,19 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(_documents(spark, sf_dir), out=("n_words", "n_removed", "kept_sha256"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    got = langid.identify(docs, langid.fit(docs), declared="lang", host="source")
+    return got.select("doc_id", "language.*")
+
+
+def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with all evidence of web pages: markup, address suffix and host."""
+    pages = langid.page_evidence(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    got = langid.identify(pages, langid.fit(_documents(spark, sf_dir)), text="body", declared="declared", host="host", suffix="suffix", keep=("page_id",))
+    return got.select("page_id", "language.*")
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webp.digest(_documents(spark, sf_dir))
 
@@ -53,7 +78,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_token_counts, op4_simhash, op5_packing, op6_bpe, op7_substring_dedup, op9_media, op10_embedding_dedup)
+    f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_lm_scores, op4_simhash, op5_packing, op6_bpe, op7_substring_dedup, op8_language_id, op9_media, op10_embedding_dedup, page_languages)
 }
 
 ORACLE_SQL: dict[str, str] = {}
