@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, drop_staged, open_chunk, stage, stage_chunks
+from .common import CHUNK_BYTES, open_chunk, stage, stage_chunks
 
 #: Words of a window and of a phrase; phrases of one automaton.
 WINDOW = 20
@@ -29,6 +29,11 @@ SHARD = 50_000
 
 _M = 0x9E3779B97F4A7C15
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Bytes of a word beyond which it is hashed by itself.
+LONG = 256
+#: White space: space, and bytes 9 to 13.
+_WHITE = np.zeros(256, bool)
+_WHITE[[32, 9, 10, 11, 12, 13]] = True
 
 
 def _rolling(h: np.ndarray, k: int) -> np.ndarray:
@@ -68,27 +73,30 @@ def _slide(x: np.ndarray, k: int, f: np.ufunc) -> np.ndarray:
 
 
 class Chunk:
-    """The words of a chunk in one array, documents in order of id."""
+    """The words of a chunk as arrays, documents in order of id. No word becomes a Python object."""
 
     def __init__(self, blob: bytes, window: int, phrase: int) -> None:
         keys, texts = open_chunk(blob)
         order = sorted(range(len(keys)), key=lambda i: (keys[i] is None, keys[i] or 0))
         self.keys = [keys[i] for i in order]
         self.window, self.phrase = window, phrase
-        words = [texts[i].split() for i in order]
-        self.lengths = np.fromiter(map(len, words), np.int64, len(words))
-        self.flat = [w for d in words for w in d]
-        self.vocabulary: dict[bytes, int] = {w: i for i, w in enumerate(dict.fromkeys(self.flat))}
-        self.ids = np.fromiter(map(self.vocabulary.__getitem__, self.flat), np.int64, len(self.flat))
-        self.ends = np.cumsum(self.lengths)
+        texts = [texts[i] for i in order]
+        self.bytes = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        white = _WHITE[self.bytes]
+        edge = np.flatnonzero(np.diff(white, prepend=True))  # begins and ends of words by turns
+        self.begin, self.end = edge[0::2], edge[1::2]
+        text_end = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+        #: Ends of the documents in words, and their lengths.
+        self.ends = np.searchsorted(self.begin, text_end)
+        self.lengths = np.diff(self.ends, prepend=0)
         self.starts = self.ends - self.lengths
-        n, span = len(self.ids), window - phrase + 1
+        n, span = len(self.begin), window - phrase + 1
         self.empty = n < window
         if self.empty:
             return
-        h = np.fromiter(map(xxhash.xxh64_intdigest, self.vocabulary), np.uint64, len(self.vocabulary))[self.ids]
-        self.windows = _rolling(h, window)
-        self.phrases = _mixed(_rolling(h, phrase))
+        self.words = self._hashes()
+        self.windows = _rolling(self.words, window)
+        self.phrases = _mixed(_rolling(self.words, phrase))
         end = np.repeat(self.ends, self.lengths)
         self.valid = np.arange(n - window + 1) + window <= end[: n - window + 1]
         least = _slide(self.phrases, span, np.minimum)
@@ -98,18 +106,32 @@ class Chunk:
         #: Places of phrases that some window selects (all of them at ties).
         self.selected = _slide(np.concatenate((pad, self.least, pad)), span, np.maximum) == self.phrases
 
+    def _hashes(self) -> np.ndarray:
+        """A hash of each word: Horner's rule over all words at once, byte by byte; long words one by one."""
+        size = self.end - self.begin
+        h = size.astype(np.uint64)
+        at = np.flatnonzero(size <= LONG)
+        k = 0
+        while len(at):
+            h[at] = h[at] * np.uint64(0xD6E8FEB86659FD93) + self.bytes[self.begin[at] + k]
+            k += 1
+            at = at[size[at] > k]
+        for i in np.flatnonzero(size > LONG).tolist():
+            h[i] = xxhash.xxh64_intdigest(self.bytes[self.begin[i] : self.end[i]].tobytes())
+        return _mixed(h)
+
     def located(self, recurring: np.ndarray) -> np.ndarray:
         """Places where a recurring phrase stands, by streaming the chunk through automata over word numbers."""
-        at = np.flatnonzero(self.selected & np.isin(self.phrases, recurring))
+        at = np.flatnonzero(self.selected & _within(self.phrases, recurring))
         _, first = np.unique(self.phrases[at], return_index=True)
         found = np.zeros(len(self.phrases), bool)
         for i in range(0, len(first), SHARD):
             places = at[first[i : i + SHARD]]
-            letters = np.unique(self.ids[places[:, None] + np.arange(self.phrase)])
-            code = np.ones(len(self.vocabulary), np.uint32)  # 1: a word of no phrase of the shard
-            code[letters] = np.arange(len(letters), dtype=np.uint32) + 2
+            letters = np.unique(self.words[places[:, None] + np.arange(self.phrase)])
+            k = np.minimum(np.searchsorted(letters, self.words), len(letters) - 1)
+            code = np.where(letters[k] == self.words, k + 2, 1).astype("<u4")  # 1: a word of no phrase of the shard
             code[code >= 0xD800] += 0x800  # not a surrogate
-            line = code[self.ids].astype("<u4").tobytes().decode("utf-32-le")
+            line = code.tobytes().decode("utf-32-le")
             automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
             for p in places.tolist():
                 automaton.add_word(line[p : p + self.phrase])
@@ -118,29 +140,53 @@ class Chunk:
             found[hits - (self.phrase - 1)] = True
         return found
 
-    def candidates(self, recurring: np.ndarray) -> np.ndarray:
-        """Starts of the windows whose selected phrase recurs."""
+    def candidates(self, recurring: np.ndarray, locate: bool) -> np.ndarray:
+        """Starts of the windows whose selected phrase recurs: as located by the automata, or from what they confirmed."""
         if self.empty or not len(recurring):
             return np.empty(0, np.int64)
-        here = np.where(self.located(recurring), self.phrases, _NONE)
-        span = self.window - self.phrase + 1
-        return np.flatnonzero(self.valid & (_slide(here, span, np.minimum) == self.least) & np.isin(self.least, recurring))
+        known = self.valid & _within(self.least, recurring)
+        if locate:
+            here = np.where(self.located(recurring), self.phrases, _NONE)
+            known &= _slide(here, self.window - self.phrase + 1, np.minimum) == self.least
+        return np.flatnonzero(known)
+
+    def ranks(self) -> dict[int | None, int]:
+        """By id, the number of its first document."""
+        return {k: i for i, k in reversed(list(enumerate(self.keys)))}
 
-    def earliest(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(doc number, start in it, least candidate index with the same window) for each candidate start.
+    def earliest(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(doc number, rank of its id, start in it, least candidate index with the same window) for each candidate start.
 
         Documents are in order of id, so the first place in the array is the earliest,
         but for documents of one id: there the start decides, then the array's order.
         """
         doc = np.searchsorted(self.ends, at, side="right")
         start = at - self.starts[doc]
-        rank = {k: i for i, k in reversed(list(enumerate(self.keys)))}
+        rank = self.ranks()
         by_id = np.array([rank[k] for k in self.keys], np.int64)[doc]
         order = np.lexsort((at, start, by_id)) if len(rank) < len(self.keys) else np.arange(len(at))
         _, first, inverse = np.unique(self.windows[at][order], return_index=True, return_inverse=True)
         back = np.empty(len(at), np.int64)
         back[order] = order[first[inverse]]
-        return doc, start, back
+        return doc, by_id, start, back
+
+    def without(self, drop: np.ndarray) -> list[bytes]:
+        """The words of each document that are not dropped, joined by a space."""
+        data = self.bytes.copy()
+        data[self.end] = 32
+        keep = np.zeros(len(data) + 1, np.int8)
+        kept = ~drop
+        keep[self.begin[kept]] = 1
+        keep[self.end[kept] + 1] -= 1  # the byte after a word is its space
+        left = data[np.cumsum(keep[:-1], dtype=np.int8).view(bool)].tobytes()
+        size = np.concatenate(([0], np.cumsum((self.end - self.begin + 1) * kept)))
+        at = size[np.concatenate(([0], self.ends))].tolist()
+        return [left[a : max(a, b - 1)] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def _within(x: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Whether each value is among the sorted ones."""
+    return some[np.minimum(np.searchsorted(some, x), len(some) - 1)] == x
 
 
 def _phrases(window: int, phrase: int):
@@ -163,10 +209,10 @@ def _blocks(window: int, phrase: int):
             return pa.table([pa.array([], k) for k in kinds], names)
         c = Chunk(docs.column("blob")[0].as_py(), window, phrase)
         recurring = np.sort(np.asarray(found.column("phrase")).view(np.uint64))
-        at = c.candidates(recurring)
+        at = c.candidates(recurring, True)
         if not len(at):
             return pa.table([pa.array([], k) for k in kinds], names)
-        doc, start, first = c.earliest(at)
+        doc, _, start, first = c.earliest(at)
         mine = first == np.arange(len(at))
         at, doc, start = at[mine], doc[mine], start[mine]
         value = c.least[at]
@@ -230,24 +276,19 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _apply(window: int, phrase: int, out: list[str]):
     def run(key: tuple, docs: pa.Table, recurring: pa.Table, later: pa.Table) -> pa.Table:
         c = Chunk(docs.column("blob")[0].as_py(), window, phrase)
-        mark = np.zeros(len(c.ids) + 1, np.int64)
-        at = c.candidates(np.sort(np.asarray(recurring.column("phrase")).view(np.uint64)))
+        mark = np.zeros(len(c.begin) + 1, np.int64)
+        at = c.candidates(np.sort(np.asarray(recurring.column("phrase")).view(np.uint64)), False)
         if len(at):
-            doc, start, first = c.earliest(at)
-            gone = {(k, s) for k, s in zip(later.column("key").to_pylist(), later.column("start").to_pylist(), strict=True)}
-            place = [(c.keys[d], s) for d, s in zip(doc.tolist(), start.tolist(), strict=True)]
+            _, by_id, start, first = c.earliest(at)
+            place, rank = by_id << 32 | start, c.ranks()
+            gone = np.fromiter((rank[k] << 32 | x for k, x in zip(later.column("key").to_pylist(), later.column("start").to_pylist(), strict=True)), np.int64)
             # Equal windows of one chunk: all but those at the earliest (id, start) go; that one goes if another chunk has it earlier.
-            late = np.array([place[i] != place[f] or place[f] in gone for i, f in enumerate(first.tolist())], bool)
+            late = (place != place[first]) | np.isin(place[first], gone)
             np.add.at(mark, at[late], 1)
             np.subtract.at(mark, at[late] + window, 1)
         drop = np.cumsum(mark[:-1]) > 0
-        keep = ~drop
-        cols: dict[str, list] = {"key": c.keys, "n_words": c.lengths.tolist(), "n_removed": [], "kept": []}
-        for s, e in zip(c.starts.tolist(), c.ends.tolist(), strict=True):
-            gone_here = int(drop[s:e].sum())
-            cols["n_removed"].append(gone_here)
-            kept = c.flat[s:e] if not gone_here else [c.flat[i] for i in (np.flatnonzero(keep[s:e]) + s).tolist()]
-            cols["kept"].append(b" ".join(kept))
+        removed = np.concatenate(([0], np.cumsum(drop)))[np.concatenate(([0], c.ends))]
+        cols: dict[str, list] = {"key": c.keys, "n_words": c.lengths, "n_removed": np.diff(removed), "kept": c.without(drop)}
         if "kept_sha256" in out:
             cols["kept_sha256"] = [hashlib.sha256(x).hexdigest() for x in cols["kept"]]
         kinds = {"key": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept": pa.binary(), "kept_sha256": pa.string()}
