@@ -169,6 +169,26 @@ class UnionFind:
         return True
 
 
+def spanning(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """Of links i-j those that join two groups of label; label is brought up to date."""
+    out: list[tuple[int, int]] = []
+    while True:
+        p, q = label[i], label[j]
+        k = np.flatnonzero(p != q)
+        if not len(k):
+            return out
+        # For each group the link to its least other group: forests of such links have no cycle but of two.
+        lo, hi = np.minimum(p[k], q[k]), np.maximum(p[k], q[k])
+        order = np.lexsort((lo, hi))
+        first = order[np.unique(hi[order], return_index=True)[1]]
+        up = np.arange(len(label))
+        up[hi[first]] = lo[first]
+        out += list(zip(i[k[first]].tolist(), j[k[first]].tolist(), strict=True))
+        while (up[up] != up).any():
+            up = up[up]
+        label[:] = up[label]
+
+
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The links of one block of edges as links to the least member; blocks bound the memory."""
     block, seen = UnionFind(), 0

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stage, tune
+from .common import components, spanning, stage, tune
 
 #: Distinct vectors of one block; a tile is a pair of blocks.
 BLOCK = 2048
@@ -56,26 +56,6 @@ def pairs(a: Side, b: Side, threshold: float, same: bool) -> Iterator[tuple[np.n
         yield i[hit] + s, j[hit]
 
 
-def _spanning(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
-    """Of links i-j those that join two groups of label; label is brought up to date."""
-    out: list[tuple[int, int]] = []
-    while True:
-        p, q = label[i], label[j]
-        k = np.flatnonzero(p != q)
-        if not len(k):
-            return out
-        # For each group the link to its least other group: forests of such links have no cycle but of two.
-        lo, hi = np.minimum(p[k], q[k]), np.maximum(p[k], q[k])
-        order = np.lexsort((lo, hi))
-        first = order[np.unique(hi[order], return_index=True)[1]]
-        up = np.arange(len(label))
-        up[hi[first]] = lo[first]
-        out += list(zip(i[k[first]].tolist(), j[k[first]].tolist(), strict=True))
-        while (up[up] != up).any():
-            up = up[up]
-        label[:] = up[label]
-
-
 def _tile(threshold: float):
     names, kinds = ["a", "b", "n"], [pa.int64()] * 3
 
@@ -99,7 +79,7 @@ def _tile(threshold: float):
         for i, j in pairs(a, b, threshold, lo == hi):
             np.add.at(of_a, i, b.copies[j])
             np.add.at(of_b, j, a.copies[i])
-            spans += _spanning(label, i, j + shift)
+            spans += spanning(label, i, j + shift)
         if lo == hi:
             counts, every = of_a + of_b, a.ids
         else:
