@@ -78,6 +78,21 @@ class Spelling:
         self.node, self.bit = np.array(node, np.int32), np.array(bit, np.int8)
 
 
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE ** k and its inverse modulo 2 ** 64 for k below n; kept for the longest view so far."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        both = []
+        for base in (BASE, pow(BASE, -1, 1 << 64)):
+            x = np.full(n, base, np.uint64)
+            x[:1] = 1
+            both.append(np.cumprod(x))
+        _POWERS[:] = both
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
 class Bytes:
     """The texts of a chunk as one array of bytes, and what each is spelled from."""
 
@@ -87,14 +102,13 @@ class Bytes:
         self.size = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
         self.end = np.cumsum(self.size)
         n = len(self.b)
-        self.at = np.arange(n) - np.repeat(self.end - self.size, self.size)  # place in the text
+        self.at = np.arange(n, dtype=np.int32) - np.repeat((self.end - self.size).astype(np.int32), self.size)  # place in the text
         self.pair = self._back(1).astype(np.int32) << 8 | self.b
 
     def _back(self, k: int) -> np.ndarray:
         """The byte k places before, or 0 beyond the text's start."""
         out = np.zeros(len(self.b), np.uint8)
-        out[k:] = self.b[:-k] if k else self.b
-        out[self.at < k] = 0
+        np.multiply(self.b[:-k], self.at[k:] >= k, out=out[k:])
         return out
 
     def contexts(self, slots: int) -> np.ndarray:
@@ -105,13 +119,13 @@ class Bytes:
         four = (back[4] << np.uint32(24) | back[3] << np.uint32(16) | back[2] << np.uint32(8) | back[1]) ^ np.uint32(0x5BD1E995)
         # The word so far, its last REACH bytes at most: a polynomial taken from sums over the whole array.
         n = len(self.b)
-        place = np.arange(n)
-        begin = np.where((self.at == 0) | (back[1] <= 32), place, 0)
-        begin = np.maximum(np.maximum.accumulate(begin), place - np.minimum(self.at, REACH))
-        power, inverse = np.full(n, BASE, np.uint64), np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
-        power[:1] = inverse[:1] = 1
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((self.b + np.uint64(1)) * np.cumprod(power))))
-        word = ((sums[:-1] - sums[begin]) * np.cumprod(inverse)[begin] >> np.uint64(32)).astype(np.uint32)
+        place = np.arange(n, dtype=np.int32)
+        begin = place * (back[1] <= 32)  # the byte before a text's start is 0
+        begin = np.maximum(np.maximum.accumulate(begin), place - np.minimum(self.at, REACH)).astype(np.int64)
+        power, inverse = _powers(n)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((self.b + np.uint64(1)) * power, out=sums[1:])
+        word = ((sums[:-1] - sums[begin]) * inverse[begin] >> np.uint64(32)).astype(np.uint32)
         shift = np.uint32(32 - int(math.log2(slots)))
         mix = lambda x: ((x * m) ^ (x * m >> np.uint32(15))) * np.uint32(2246822519) >> shift
         return np.stack([mix(two * np.uint32(3)), mix(four), mix(word ^ np.uint32(0x27D4EB2F))]).astype(np.int32)
@@ -156,8 +170,9 @@ def _count(spelling, train, slots: int):
                     sub = _cut(x, slots, lo, hi)
                     n, node, bit = _decisions(x, spelling.value, lo, hi)
                     for k in range(CONTEXTS):
-                        slot = ((np.repeat(sub[k], n) ^ node) & (slots - 1)) << 1 | bit
-                        np.add.at(total[k], slot, np.int32(1))
+                        # A node is less than 256, so a slot's number stays below slots.
+                        slot = np.repeat(sub[k], n) ^ node
+                        np.add.at(total[k], slot.astype(np.int64) << 1 | bit, np.int32(1))
         part = TaskContext.get().partitionId()
         press = zstandard.ZstdCompressor(level=1)
         for k in range(CONTEXTS):
@@ -224,7 +239,8 @@ def _lanes(odds: np.ndarray, bit: np.ndarray, first: np.ndarray, n: np.ndarray)
         k = int(going[t])
         at = first[:k] + t
         x = s[:, :k]
-        np.multiply(odds[:, at], np.float32(1 / UNIT), out=x)
+        for row in range(CONTEXTS):
+            np.multiply(odds[row].take(at), np.float32(1 / UNIT), out=x[row])
         gate = (x[1] != 0).astype(np.float32)
         y = x * gate
         z = (w[0, :, :k] * x).sum(0)
@@ -269,7 +285,7 @@ def score_texts(texts: list[bytes], spelling: Spelling, odds: np.ndarray) -> np.
         n, node, bit = _decisions(x, spelling, a, b)
         s = np.empty((CONTEXTS, len(node)), np.int8)
         for k in range(CONTEXTS):
-            s[k] = odds[k][(np.repeat(ctx[k], n) ^ node) & (slots - 1)]
+            s[k] = odds[k].take(np.repeat(ctx[k], n) ^ node)
         ends = np.concatenate(([0], np.cumsum(n)))
         j = slice(i, min(i + LANES, len(text)))
         first, size = ends[lo[j] - a], ends[hi[j] - a] - ends[lo[j] - a]
@@ -302,7 +318,7 @@ def _tokens(train):
     return run
 
 
-def score(df: DataFrame, train, key: str = "doc_id", text: str = "text", slots: int = SLOTS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def score(df: DataFrame, train, key: str = "doc_id", text: str = "text", slots: int = SLOTS, chunk_bytes: int = CHUNK_BYTES // 2) -> DataFrame:
     """(key, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) of every whole text.
 
     train: function of a key that says whether its text is one to learn from. base_score: the
