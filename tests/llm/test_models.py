@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_lm_base_and_model(spark):
-    train = lambda k: not queries.held_out(k)
+    train = mixing.is_training
     got = mixing.score(frame(spark), train, slots=1 << 16, chunk_bytes=20_000).collect()
     tokens = [(r[0], WORD.findall(low(r[1])) + [None]) for r in rows()]
     c = Counter(t for k, ts in tokens if train(k) for t in ts)
@@ -52,7 +52,7 @@ def test_lm_is_a_probability():
 def test_lm_beats_single_bytes_on_held_out_text(spark):
     """Bits per byte of held-out text well below the entropy of its single bytes."""
     got = queries.op3_lm_scores(spark, SF).where("held_out").agg(F.sum(F.col("bits_per_byte") * (F.col("n_bytes") + 1)), F.sum(F.col("n_bytes") + 1)).first()
-    texts = [low(r.text).encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if queries.held_out(r.doc_id)]
+    texts = [low(r.text).encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if not mixing.is_training(r.doc_id)]
     c = Counter(b for t in texts for b in t + b"\0")
     n = sum(c.values())
     assert n == got[1] and got[0] / n < 0.8 * -sum(v / n * math.log2(v / n) for v in c.values())
