@@ -81,7 +81,8 @@ class Spelling:
                 bit += [b for _, b in way]
         start[65_536] = len(node)
         self.start, self.length = start[:-1], np.diff(start).astype(np.int64)
-        self.node, self.bit = np.array(node, np.int32), np.array(bit, np.int8)
+        #: Node and bit of each decision as one number, node * 2 + bit.
+        self.step = np.array(node, np.int64) << 1 | np.array(bit, np.int64)
 
 
 _POWERS: list[np.ndarray] = []
@@ -137,12 +138,14 @@ class Bytes:
         return np.stack([mix(two * np.uint32(3)), mix(four), mix(word ^ np.uint32(0x27D4EB2F))]).astype(np.int32)
 
 
-def _decisions(x: Bytes, spelling: Spelling, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(decisions of each byte, node, bit) of the bytes lo to hi."""
-    n = spelling.length[x.pair[lo:hi]]
+def _decisions(x: Bytes, spelling: Spelling, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """(decisions of each byte, node * 2 + bit of each decision) of the bytes lo to hi."""
+    pair = x.pair[lo:hi]
+    n = spelling.length[pair]
     ends = np.cumsum(n)
-    flat = np.repeat(spelling.start[x.pair[lo:hi]] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-    return n, spelling.node[flat], spelling.bit[flat]
+    flat = np.repeat(spelling.start[pair] - (ends - n), n)
+    flat += np.arange(len(flat))
+    return n, spelling.step.take(flat)
 
 
 def pair_counts(chunks: DataFrame, train) -> np.ndarray:
@@ -174,11 +177,12 @@ def _count(spelling, train, slots: int):
                 for lo in range(0, len(x.b), 1 << 20):
                     hi = min(lo + (1 << 20), len(x.b))
                     sub = _cut(x, slots, lo, hi)
-                    n, node, bit = _decisions(x, spelling.value, lo, hi)
+                    n, step = _decisions(x, spelling.value, lo, hi)
                     for k in range(CONTEXTS):
                         # A node is less than 256, so a slot's number stays below slots.
-                        slot = np.repeat(sub[k], n) ^ node
-                        np.add.at(total[k], slot.astype(np.int64) << 1 | bit, np.int32(1))
+                        at = np.repeat(sub[k].astype(np.int64) << 1, n)
+                        at ^= step
+                        np.add.at(total[k], at, np.int32(1))
         part = TaskContext.get().partitionId()
         press = zstandard.ZstdCompressor(level=1)
         for k in range(CONTEXTS):
@@ -288,10 +292,12 @@ def score_texts(texts: list[bytes], spelling: Spelling, odds: np.ndarray) -> np.
     for i in range(0, len(text), LANES):
         a, b = int(lo[i]), int(hi[min(i + LANES, len(text)) - 1])
         ctx = _cut(x, slots, a, b)
-        n, node, bit = _decisions(x, spelling, a, b)
-        s = np.empty((CONTEXTS, len(node)), np.int8)
+        n, step = _decisions(x, spelling, a, b)
+        s, node, bit = np.empty((CONTEXTS, len(step)), np.int8), step >> 1, (step & 1).astype(np.int8)
         for k in range(CONTEXTS):
-            s[k] = odds[k].take(np.repeat(ctx[k], n) ^ node)
+            at = np.repeat(ctx[k].astype(np.int64), n)
+            at ^= node
+            odds[k].take(at, out=s[k], mode="clip")
         ends = np.concatenate(([0], np.cumsum(n)))
         j = slice(i, min(i + LANES, len(text)))
         first, size = ends[lo[j] - a], ends[hi[j] - a] - ends[lo[j] - a]
