@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -66,13 +67,33 @@ def binary(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+_LEAN: list[bool] = []
+
+
+def lean() -> None:
+    """Keeps a Python worker small between tasks: large arrays are mapped by themselves and go back at once, freed memory is returned.
+
+    By default glibc keeps what freed arrays leave, and the workers of an executor add up.
+    """
+    libc = ctypes.CDLL(None)
+    if not _LEAN:
+        _LEAN.append(True)
+        if hasattr(libc, "mallopt"):
+            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """Batch by batch, without state."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for b in batches:
             if b.num_rows:
                 yield fn(b)
+        lean()
 
     return df.mapInArrow(run, schema)
 
@@ -86,6 +107,7 @@ def stage_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         n, held, size = TaskContext.get().partitionId() << 24, [], 0
 
         def blob() -> pa.RecordBatch:
@@ -107,6 +129,7 @@ def stage_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk
             held.append(b.slice(start))
         if any(h.num_rows for h in held):
             yield blob()
+        lean()
 
     return stage(docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, "chunk long, blob binary"), "chunks")
 

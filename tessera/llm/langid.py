@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, binary, stage, tune
+from .common import ASCII_LOWER, binary, lean, stage, tune
 
 BUCKETS = 1 << 14
 GRAMS = 200.0
@@ -89,6 +89,7 @@ def identify(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "te
 
     @F.pandas_udf("array<double>")
     def likelihoods(s: pd.Series) -> pd.Series:
+        lean()
         code, a, e = _codes([t.encode() for t in s])
         sums = [np.concatenate(([0.0], np.cumsum(p[code], dtype=np.float64))) for p in table.value]
         return pd.Series(list(np.stack([c[e] - c[a] for c in sums] + [(e - a).astype(np.float64)], 1)))

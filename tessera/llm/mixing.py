@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, CHUNK_BYTES, open_chunk, stage, stage_chunks
+from .common import ASCII_LOWER, CHUNK_BYTES, lean, open_chunk, stage, stage_chunks
 
 #: Slots of each predictor's table, predictors, bytes of a segment, lanes at a time.
 SLOTS = 1 << 22
@@ -155,6 +155,7 @@ def pair_counts(chunks: DataFrame, train) -> np.ndarray:
         total = np.zeros(65_536, np.int64)
         for b in batches:
             for blob in b.column(1).to_pylist():
+                lean()
                 keys, texts = open_chunk(blob)
                 total += np.bincount(Bytes([t for k, t in zip(keys, texts, strict=True) if train(k)]).pair, minlength=65_536)
         k = np.flatnonzero(total)
@@ -172,6 +173,7 @@ def _count(spelling, train, slots: int):
         total = np.zeros((CONTEXTS, slots * 2), np.int32)
         for b in batches:
             for blob in b.column(1).to_pylist():
+                lean()
                 keys, texts = open_chunk(blob)
                 x = Bytes([t for k, t in zip(keys, texts, strict=True) if train(k)])
                 for lo in range(0, len(x.b), 1 << 20):
@@ -352,6 +354,7 @@ def score(df: DataFrame, train, key: str = "doc_id", text: str = "text", slots:
     below = math.log10(total + distinct + 1)
 
     def run(k: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
+        lean()
         keys, texts = open_chunk(docs.column("blob")[0].as_py())
         c = np.asarray(told.column("c"))
         value = dict(zip(told.column("token").to_pylist(), zip((np.log10(c + 1.0)).tolist(), (c > 0).tolist(), strict=True), strict=True))

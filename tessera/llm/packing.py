@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, tune
+from .common import lean, stage, tune
 
 #: Tokens of a sequence, open windows of a partition, partitions whose leftovers are merged together.
 LENGTH = 1024
@@ -141,6 +141,7 @@ def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", leng
     tune(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         part = TaskContext.get().partitionId()
         packer, enc = Packer(length, windows, part << 32), encoder(path)
         stop = np.array([end], "<u4").tobytes()

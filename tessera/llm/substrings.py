@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, open_chunk, stage, stage_chunks
+from .common import CHUNK_BYTES, lean, open_chunk, stage, stage_chunks
 
 #: Words of a window and of a phrase; phrases of one automaton.
 WINDOW = 20
@@ -193,6 +193,7 @@ def _phrases(window: int, phrase: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for n, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                lean()
                 c = Chunk(blob, window, phrase)
                 if not c.empty and c.selected.any():
                     values, times = np.unique(c.phrases[c.selected], return_counts=True)
@@ -205,6 +206,7 @@ def _blocks(window: int, phrase: int):
     def run(key: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
         names = ["phrase", "chunk", "key", "start", "hashes"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        lean()
         if not docs.num_rows:
             return pa.table([pa.array([], k) for k in kinds], names)
         c = Chunk(docs.column("blob")[0].as_py(), window, phrase)
@@ -233,6 +235,7 @@ def _blocks(window: int, phrase: int):
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by phrase, (chunk, key, start) of each window that another chunk has earlier. A run of a phrase is one unit."""
+    lean()
     held: list[pa.RecordBatch] = []
 
     def cut(t: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -275,6 +278,7 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _apply(window: int, phrase: int, out: list[str]):
     def run(key: tuple, docs: pa.Table, recurring: pa.Table, later: pa.Table) -> pa.Table:
+        lean()
         c = Chunk(docs.column("blob")[0].as_py(), window, phrase)
         mark = np.zeros(len(c.begin) + 1, np.int64)
         at = c.candidates(np.sort(np.asarray(recurring.column("phrase")).view(np.uint64)), False)
