@@ -67,20 +67,10 @@ def binary(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-_LEAN: list[bool] = []
-
-
 def lean() -> None:
-    """Keeps a Python worker small between tasks: large arrays are mapped by themselves and go back at once, freed memory is returned.
-
-    By default glibc keeps what freed arrays leave, and the workers of an executor add up.
-    """
-    libc = ctypes.CDLL(None)
-    if not _LEAN:
-        _LEAN.append(True)
-        if hasattr(libc, "mallopt"):
-            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    """Returns freed memory to the system between chunks: glibc keeps it otherwise, and the workers of an executor add up."""
     pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
     if hasattr(libc, "malloc_trim"):
         libc.malloc_trim(0)
 
