@@ -28,8 +28,12 @@ from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, CHUNK_BYTES, lean, open_chunk, stage, stage_chunks
 
-#: Slots of each predictor's table, predictors, bytes of a segment, lanes at a time.
+#: Slots of each predictor's table at least; slots for each distinct training context and byte; registers of their count, of one context in THIN.
 SLOTS = 1 << 22
+ROOM = 4
+REGISTERS = 1 << 12
+THIN = 16
+#: Predictors, bytes of a segment, lanes at a time.
 CONTEXTS = 3
 SEGMENT = 1024
 LANES = 2048
@@ -120,6 +124,10 @@ class Bytes:
 
     def contexts(self, slots: int) -> np.ndarray:
         """(CONTEXTS, bytes) hashes below slots."""
+        return (self.hashes() >> np.uint32(32 - int(math.log2(slots)))).astype(np.int32)
+
+    def hashes(self) -> np.ndarray:
+        """(CONTEXTS, bytes) hashes of 32 bits."""
         back = [None] + [self._back(k).astype(np.uint32) for k in range(1, 5)]
         m = np.uint32(2654435761)
         two = (back[2] << np.uint32(8) | back[1]) + np.uint32(1)
@@ -133,9 +141,8 @@ class Bytes:
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum((self.b + np.uint64(1)) * power, out=sums[1:])
         word = ((sums[:-1] - sums[begin]) * inverse[begin] >> np.uint64(32)).astype(np.uint32)
-        shift = np.uint32(32 - int(math.log2(slots)))
-        mix = lambda x: ((x * m) ^ (x * m >> np.uint32(15))) * np.uint32(2246822519) >> shift
-        return np.stack([mix(two * np.uint32(3)), mix(four), mix(word ^ np.uint32(0x27D4EB2F))]).astype(np.int32)
+        mix = lambda x: ((x * m) ^ (x * m >> np.uint32(15))) * np.uint32(2246822519)
+        return np.stack([mix(two * np.uint32(3)), mix(four), mix(word ^ np.uint32(0x27D4EB2F))])
 
 
 def _decisions(x: Bytes, spelling: Spelling, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,24 +155,54 @@ def _decisions(x: Bytes, spelling: Spelling, lo: int, hi: int) -> tuple[np.ndarr
     return n, spelling.step.take(flat)
 
 
-def pair_counts(chunks: DataFrame, train) -> np.ndarray:
-    """Counts (256, 256) of byte after byte in training texts."""
+def _register(seen: np.ndarray, hashes: np.ndarray, b: np.ndarray) -> None:
+    """Brings the registers (HyperLogLog) up to date with contexts and the bytes after them."""
+    k = np.flatnonzero(hashes % np.uint32(THIN) == 0)
+    x = hashes[k].astype(np.uint64) << np.uint64(8) | b[k]
+    x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    rank = 52 - np.frexp((x & np.uint64((1 << 51) - 1)).astype(np.float64))[1]
+    np.maximum.at(seen, (x >> np.uint64(52)).astype(np.int64), rank.astype(np.int64))
+
+
+def _distinct(seen: np.ndarray) -> float:
+    n = len(seen)
+    got = 0.7213 / (1 + 1.079 / n) * n * n / np.exp2(-seen.astype(np.float64)).sum()
+    none = int((seen == 0).sum())
+    return THIN * (n * math.log(n / none) if none and got < 2.5 * n else got)
+
+
+def pair_counts(chunks: DataFrame, train) -> tuple[np.ndarray, int]:
+    """Counts (256, 256) of byte after byte in training texts, and the distinct contexts with a byte after, of the predictor with the most (within 2 % or so)."""
+    size = 65_536 + CONTEXTS * REGISTERS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(65_536, np.int64)
+        total = np.zeros(size, np.int64)
+        seen = total[65_536:].reshape(CONTEXTS, REGISTERS)
         for b in batches:
             for blob in b.column(1).to_pylist():
                 lean()
                 keys, texts = open_chunk(blob)
-                total += np.bincount(Bytes([t for k, t in zip(keys, texts, strict=True) if train(k)]).pair, minlength=65_536)
+                x = Bytes([t for k, t in zip(keys, texts, strict=True) if train(k)])
+                total[:65_536] += np.bincount(x.pair, minlength=65_536)
+                for lo in range(0, len(x.b), 1 << 20):
+                    hi = min(lo + (1 << 20), len(x.b))
+                    for k, h in enumerate(_cut(x, 0, lo, hi)):
+                        _register(seen[k], h, x.b[lo:hi])
         k = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["pair", "n"])
 
-    got = chunks.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(65_536, np.int64)
+    got = chunks.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"), F.max("n").alias("most")).collect()
+    out = np.zeros(size, np.int64)
     for r in got:
-        out[r.pair] = r.n
-    return out.reshape(256, 256)
+        out[r.pair] = r.n if r.pair < 65_536 else r.most
+    return out[:65_536].reshape(256, 256), int(max(map(_distinct, out[65_536:].reshape(CONTEXTS, REGISTERS))))
+
+
+def slots_for(distinct: int) -> int:
+    """The power of two that gives each distinct context and byte ROOM slots (as a byte is several decisions), SLOTS at least; hashes end at 2**31."""
+    return min(1 << 31, max(SLOTS, 1 << (ROOM * distinct - 1).bit_length()))
 
 
 def _count(spelling, train, slots: int):
@@ -197,11 +234,11 @@ def _count(spelling, train, slots: int):
 
 
 def _cut(x: Bytes, slots: int, lo: int, hi: int) -> np.ndarray:
-    """Contexts of a range of bytes: those of a view with the bytes before it that contexts hold."""
+    """Contexts (no slots: their hashes) of a range of bytes: those of a view with the bytes before it that contexts hold."""
     from_ = max(0, lo - REACH - 1)
     y = Bytes.__new__(Bytes)
     y.b, y.at = x.b[from_:hi], x.at[from_:hi]
-    return y.contexts(slots)[:, lo - from_ :]
+    return (y.contexts(slots) if slots else y.hashes())[:, lo - from_ :]
 
 
 def _sum(t: pa.Table) -> pa.Table:
@@ -221,7 +258,7 @@ def tables(chunks: DataFrame, spelling, train, slots: int = SLOTS) -> np.ndarray
     """Log-odds (CONTEXTS, slots) of every slot from counts over all training texts.
 
     Counts are merged in levels of MERGED partitions, so that no task gets a list that grows
-    with the input. The table has CONTEXTS * slots bytes at any input size.
+    with the input. The table has CONTEXTS * slots bytes; score() takes the slots from the distinct training contexts.
     """
     counts = stage(chunks.mapInArrow(_count(spelling, train, slots), "block long, part long, counts binary"), "counts")
     parts = (counts.agg(F.max("part")).first()[0] or 0) + 1
@@ -332,9 +369,10 @@ def _tokens(train):
     return run
 
 
-def score(df: DataFrame, train, key: str = "doc_id", text: str = "text", slots: int = SLOTS, chunk_bytes: int = CHUNK_BYTES // 2) -> DataFrame:
+def score(df: DataFrame, train, key: str = "doc_id", text: str = "text", slots: int | None = None, chunk_bytes: int = CHUNK_BYTES // 2) -> DataFrame:
     """(key, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) of every whole text.
 
+    slots: of each predictor's table, a power of two; by default it grows with the distinct training contexts.
     train: function of a key that says whether its text is one to learn from. base_score: the
     log10 probability of lower-cased words and an end under add-one counts of training
     tokens; score: that of the mixed model; bits_per_byte: of the text's bytes and its end.
@@ -344,7 +382,9 @@ def score(df: DataFrame, train, key: str = "doc_id", text: str = "text", slots:
     """
     spark = df.sparkSession
     chunks = stage_chunks(df, key, text, chunk_bytes)
-    spelling = Spelling(pair_counts(chunks, train))
+    pairs, known = pair_counts(chunks, train)
+    spelling = Spelling(pairs)
+    slots = slots or slots_for(known)
     shared = spark.sparkContext.broadcast(spelling)
     odds = spark.sparkContext.broadcast(tables(chunks, shared, train, slots))
     w = Window.partitionBy("token")
