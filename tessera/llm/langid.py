@@ -13,15 +13,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, binary, lean, stage, tune
 
 BUCKETS = 1 << 14
 GRAMS = 200.0
-#: Labelled rows that the likelihoods are fitted on at most: those of the smallest hash.
+#: Distinct labelled texts that the likelihoods are fitted on, dealt evenly to the languages: those of the smallest hash. Each language has LEAST of them if there are so many.
 SAMPLE = 4000
+LEAST = 100
 #: Rows' worth of the level above in a host's or suffix's prior.
 SMOOTHING = 20.0
 #: Hosts up to which their priors are broadcast; beyond it they are joined by a shuffle.
@@ -39,16 +40,20 @@ def _codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "lang", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages and their log-probabilities (languages, BUCKETS) from a bounded sample of labelled rows.
+    """Languages and their log-probabilities (languages, BUCKETS) of all labelled rows, from a sample of their texts.
 
-    The sample is the rows with the smallest hashes of text; only a bound on the hash and
-    counts by language and bucket come to the driver.
+    The sample is, of each language, the distinct texts with the smallest hashes, however many copies
+    they have; only the names and counts by language and bucket come to the driver.
     """
     tune(labelled.sparkSession)
     rows = labelled.select(F.lower(F.trim(F.col(label))).alias("label"), F.col(text).cast("string").alias("text")).where("label <> '' and text <> ''").withColumn("h", F.xxhash64("text"))
-    cut = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    if cut is None:
+    distinct = rows.groupBy("label", "h").agg(F.lit(1).alias("one"))
+    langs = sorted(r.label for r in rows.select("label").distinct().collect())
+    if not langs:
         return [], np.zeros((0, BUCKETS), np.float32)
+    each = max(LEAST, sample // len(langs))
+    nth = F.row_number().over(Window.partitionBy("label").orderBy("h"))
+    chosen = distinct.withColumn("nth", nth).where(F.col("nth") <= each).select("label", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
@@ -60,8 +65,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", sample: in
             k = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k)), pa.array(k), pa.array(n[k])], ["label", "bucket", "n"])
 
-    got = rows.where(F.col("h") <= cut).select("label", "text").mapInArrow(run, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(set(got["label"]))
+    got = rows.join(F.broadcast(chosen), ["label", "h"], "left_semi").dropDuplicates(["label", "h"]).select("label", "text").mapInArrow(run, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((len(langs), BUCKETS))
     counts[[langs.index(x) for x in got["label"]], got["bucket"].to_numpy(np.int64)] = got["n"]
     return langs, np.log((counts + 0.1) / (counts + 0.1).sum(1, keepdims=True)).astype(np.float32)

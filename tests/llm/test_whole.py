@@ -2,10 +2,23 @@
 
 import numpy as np
 
-from tessera.llm import mixing
+from tessera.llm import langid, mixing
 from tessera.llm.common import stage_chunks
 
 
+def test_language_sample_ignores_copies_and_keeps_rare_languages(spark):
+    """3,000 copies and a language of three rows in 9,003."""
+    rare = [("ga", f"tá an cat agus an madra ar an mata {k}") for k in range(3)]
+    rows = [("en", "copied words again and again")] * 3000 + [("en" if k % 2 else "fr", f"{'the cat sat on the mat' if k % 2 else 'le chat est sur le tapis'} {k}") for k in range(6000)] + rare
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    langs, logp = langid.fit(docs, sample=90)
+    assert langs == ["en", "fr", "ga"]
+    code, _, _ = langid._codes([b"cat sat", b"copied "])
+    assert logp[0][code[:5]].mean() > logp[0][code[7:12]].mean() + 1
+    again, other = langid.fit(docs.distinct(), sample=90)
+    assert again == langs and np.array_equal(logp, other)
+
+
 def test_slots_grow_with_the_contexts(spark):
     rng = np.random.default_rng(2)
     texts = [rng.integers(97, 123, 20_000).astype(np.uint8).tobytes().decode() for _ in range(40)]
