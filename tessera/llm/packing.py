@@ -22,9 +22,9 @@ LENGTH = 1024
 WINDOWS = 32
 MERGED = 1024
 
-OUT = "key long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_NAMES = ["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
-_KINDS = [pa.int64()] * 7 + [pa.binary()]
+OUT = "key long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
+_NAMES = ["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids", "open"]
+_KINDS = [pa.int64()] * 7 + [pa.binary(), pa.bool_()]
 
 
 class Encoder:
@@ -71,7 +71,7 @@ class Packer:
         at = 0
         for key, start, ids, n in pieces:
             k = len(ids) // 4
-            self.out.append((key, start, k, zlib.crc32(ids), n, self.next, at, None))
+            self.out.append((key, start, k, zlib.crc32(ids), n, self.next, at, ids, False))
             at += k
         self.next += 1
 
@@ -125,12 +125,12 @@ class Packer:
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [[]] * 8
+    cols = list(zip(*rows, strict=True)) or [[]] * 9
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, _KINDS, strict=True)], _NAMES)
 
 
 def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, windows: int = WINDOWS, end: int = 0) -> DataFrame:
-    """Pieces (key, start, length, ids_crc32, doc_tokens, sequence_id, offset) of all documents.
+    """Pieces (key, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids) of all documents; ids are little-endian 32-bit numbers.
 
     A document is its ids and one id `end` (null and empty texts: `end` alone); repeated
     rows are packed each, null keys too. Each partition packs its own rows with a fixed
@@ -151,9 +151,9 @@ def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", leng
                 packer.add(k, 0, x + stop, len(x) // 4 + 1)
             yield _batch(packer.take())
         left = packer.merge()
-        yield _batch(packer.take() + [(k, s, len(x) // 4, 0, n, part, i, x) for i, (k, s, x, n) in enumerate(left)])
+        yield _batch(packer.take() + [(k, s, len(x) // 4, 0, n, part, i, x, True) for i, (k, s, x, n) in enumerate(left)])
 
-    placed = stage(df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"{OUT}, ids binary"), "packed")
+    placed = stage(df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"{OUT}, open boolean"), "packed")
 
     def last(t: pa.Table) -> pa.Table:
         group = t.column("sequence_id")[0].as_py() // MERGED
@@ -163,7 +163,7 @@ def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", leng
         rest = packer.merge()
         if rest:
             packer._close(rest)
-        return pa.Table.from_batches([_batch(packer.take())]).drop_columns("ids")
+        return pa.Table.from_batches([_batch(packer.take())]).drop_columns("open")
 
-    merged = placed.where("ids is not null").groupBy(F.expr(f"sequence_id div {MERGED}").alias("g")).applyInArrow(last, OUT)
-    return placed.where("ids is null").drop("ids").unionByName(merged).withColumnRenamed("key", key)
+    merged = placed.where("open").groupBy(F.expr(f"sequence_id div {MERGED}").alias("g")).applyInArrow(last, OUT)
+    return placed.where("not open").drop("open").unionByName(merged).withColumnRenamed("key", key)

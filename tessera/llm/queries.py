@@ -39,7 +39,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_documents(spark, sf_dir), TOKENIZER)
+    return packing.pack(_documents(spark, sf_dir), TOKENIZER).drop("ids")
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """What the operators gather and return does not end at a fixed size."""
 
+import zlib
+
 import numpy as np
 
-from tessera.llm import langid, mixing
+from tessera.llm import langid, mixing, packing, queries
 from tessera.llm.common import stage_chunks
 
 
@@ -32,3 +34,12 @@ def test_slots_grow_with_the_contexts(spark):
         found.append(known)
     assert found[1] > 10 * found[0]
     assert mixing.slots_for(100) == mixing.SLOTS and mixing.slots_for(8 * mixing.SLOTS) == 32 * mixing.SLOTS
+
+
+def test_packed_ids_spell_the_documents(spark):
+    texts = {k: f"some words of text {k} " * (k * 40) for k in range(30)}
+    pieces = packing.pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3), queries.TOKENIZER).collect()
+    assert all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in pieces)
+    stop = np.zeros(1, "<u4").tobytes()
+    for k, t in texts.items():
+        assert b"".join(bytes(r.ids) for r in sorted(pieces, key=lambda r: r.start) if r.doc_id == k) == packing.encoder(queries.TOKENIZER).encode(t) + stop
