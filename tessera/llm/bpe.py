@@ -9,6 +9,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 from functools import lru_cache
 from itertools import chain
 
@@ -19,10 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memory, map_rows, tune
+from .common import Memory, Pieces, map_rows, tune
 
-#: Distinct pieces of each of the two generations that a worker remembers.
-REMEMBERED = 350_000
+#: Distinct pieces, and pre-tokens that are no whole tokens, of each of the two generations that a worker remembers.
+REMEMBERED = 250_000
+#: Bytes of a pre-token beyond which its links are packed arrays.
+LONG = 4096
 
 
 class PerfectHash:
@@ -86,60 +89,70 @@ class Bpe:
         known = self.ranks.get
         self.pair = {a << 20 | b: r for t, r in self.ranks.items() for k in range(1, len(t)) if (a := known(t[:k])) is not None and (b := known(t[k:])) is not None}
         self.pattern = regex.compile(pattern)
-        self.edge = regex.compile(r"^\s|\s$")
-        self.seen = Memory(REMEMBERED)
+        self.merged = Memory(REMEMBERED)
+        self.pieces = Pieces(self._piece, REMEMBERED)
 
     def merge(self, word: bytes) -> list[int]:
-        """Merges of least rank first, leftmost at ties. A heap entry is stale when its two parts no longer make its rank."""
+        """Merges of least rank first, leftmost at ties.
+
+        A heap entry is a rank and the place of a part that makes it with the part linked after it;
+        it is stale when that place has another rank by now. Byte n, which joins with nothing, ends the links.
+        """
         pair, n = self.pair.get, len(word)
-        part, nxt, prv = [self.byte[b] for b in word], list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [r * n + i for i in range(n - 1) if (r := pair(part[i] << 20 | part[i + 1])) is not None]
+        part = [self.byte[b] for b in word]
+        rank = [pair(a << 20 | b, -1) for a, b in zip(part, part[1:])]
+        bits = n.bit_length()
+        heap = [r << bits | i for i, r in enumerate(rank) if r >= 0]
+        if not heap:
+            return part
+        part.append(-1)
+        rank += (-1, -1)
+        nxt, prv = list(range(1, n + 2)), list(range(-1, n))
+        if n > LONG:
+            part, rank, nxt, prv = (array("i", x) for x in (part, rank, nxt, prv))
         heapq.heapify(heap)
-        pop, push = heapq.heappop, heapq.heappush
+        pop, push, mask = heapq.heappop, heapq.heappush, (1 << bits) - 1
         while heap:
-            r, i = divmod(pop(heap), n)
-            if (a := part[i]) < 0 or (j := nxt[i]) >= n or pair(a << 20 | part[j]) != r:
+            e = pop(heap)
+            i, r = e & mask, e >> bits
+            if rank[i] != r:
                 continue
-            after = nxt[j]
-            part[i], nxt[i], part[j] = r, after, -1
-            if after < n:
-                prv[after] = i
-                if (x := pair(r << 20 | part[after])) is not None:
-                    push(heap, x * n + i)
-            if (p := prv[i]) >= 0 and (x := pair(part[p] << 20 | r)) is not None:
-                push(heap, x * n + p)
+            j = nxt[i]
+            part[i], part[j], rank[j] = r, -1, -1
+            nxt[i] = k = nxt[j]
+            prv[k] = i
+            if k < n and (x := pair(r << 20 | part[k])) is not None:
+                rank[i] = x
+                push(heap, x << bits | i)
+            else:
+                rank[i] = -1
+            if (p := prv[i]) >= 0:
+                if (x := pair(part[p] << 20 | r)) is not None:
+                    rank[p] = x
+                    push(heap, x << bits | p)
+                else:
+                    rank[p] = -1
         return [x for x in part if x >= 0]
 
-    def pre_token(self, token: str) -> list[int]:
+    def pre_token(self, token: str) -> tuple[int, ...]:
+        """Ids of one match of the pattern: looked up whole, else as remembered, else merged."""
         word = token.encode()
         k = self.whole.find(word)
-        return [self.rank_of[k]] if k >= 0 else self.merge(word)
+        if k >= 0:
+            return (self.rank_of[k],)
+        if (x := self.merged.get(word)) is None:
+            x = tuple(self.merge(word))
+            self.merged.put(word, x)
+        return x
 
     def _piece(self, piece: str) -> tuple[int, ...]:
-        """Ids of a text between single spaces; (-1,) where it begins or ends in white space, so that its neighbours matter."""
-        bare = piece[1:] if piece[:1] == " " else piece
-        out = (-1,) if not bare or self.edge.search(bare) else tuple(chain.from_iterable(map(self.pre_token, self.pattern.findall(piece))))
-        self.seen.put(piece, out)
-        return out
+        if piece.isascii() and piece[piece[0] == " " :].isalpha():  # one match by itself
+            return self.pre_token(piece)
+        return tuple(chain.from_iterable(map(self.pre_token, self.pattern.findall(piece))))
 
     def encode(self, text: str) -> list[int]:
-        """Ids of a whole text. Texts are cut at single spaces, at which every match of the pattern ends."""
-        if not text:
-            return []
-        pieces = text.split(" ")
-        pieces[1:] = [" " + p for p in pieces[1:]]
-        parts = self.seen.find(pieces)
-        if None in parts:
-            fresh: dict[str, tuple[int, ...]] = {}
-            for i, x in enumerate(parts):
-                if x is None:
-                    p = pieces[i]
-                    if (x := fresh.get(p)) is None:
-                        x = fresh[p] = self._piece(p)
-                    parts[i] = x
-        if (-1,) in parts:
-            return list(chain.from_iterable(map(self.pre_token, self.pattern.findall(text))))
-        return list(chain.from_iterable(parts))
+        """Ids of a whole text."""
+        return list(chain.from_iterable(self.pieces.cut(text))) if text else []
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))

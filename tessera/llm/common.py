@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -68,7 +69,11 @@ def binary(column: pa.Array) -> list[bytes]:
 
 
 def lean() -> None:
-    """Returns freed memory to the system between chunks: glibc keeps it otherwise, and the workers of an executor add up."""
+    """Returns freed memory to the system between chunks: glibc keeps it otherwise, and the workers of an executor add up.
+
+    Python looks for cycles less often from then on: operators make none, and each look goes over all that they hold.
+    """
+    gc.set_threshold(200_000, 50, 1000)
     pa.default_memory_pool().release_unused()
     libc = ctypes.CDLL(None)
     if hasattr(libc, "malloc_trim"):
@@ -133,7 +138,12 @@ def open_chunk(blob: bytes) -> tuple[list[int | None], list[bytes]]:
 
 
 class Memory:
-    """A dictionary of bounded size in two generations: what is used stays, what is not goes when the young one is full."""
+    """A dictionary of bounded size in two generations: what is used stays, what is not goes when the young one is full.
+
+    Keys longer than LONG are not remembered, so the size bounds bytes too.
+    """
+
+    LONG = 64
 
     def __init__(self, size: int) -> None:
         self.size = size
@@ -150,12 +160,74 @@ class Memory:
                     out[i] = self.young[keys[i]] = y
         return out
 
+    def get(self, key):
+        if (x := self.young.get(key)) is None and (x := self.old.get(key)) is not None:
+            self.young[key] = x
+        return x
+
     def put(self, key, value) -> None:
+        if len(key) > self.LONG:
+            return
         if len(self.young) >= self.size:
             self.old, self.young = self.young, {}
         self.young[key] = value
 
 
+class Pieces:
+    """Texts cut where a pattern's matches end for sure, and a memory of what each piece gives.
+
+    Texts are cut at single spaces between two characters that are not white space. Pieces at whose edge
+    more white space stands are taken together with their neighbours there, so only they are done at length.
+    """
+
+    EDGE = (-1,)
+
+    def __init__(self, of: Callable[[str], tuple], size: int) -> None:
+        """of: the value, a tuple other than EDGE, of a piece."""
+        self.of = of
+        self.seen, self.runs = Memory(size), Memory(size // 8)
+
+    def cut(self, text: str) -> list[tuple]:
+        """The values of a text's pieces, in order."""
+        pieces = text.split(" ")
+        pieces[1:] = [" " + p for p in pieces[1:]]
+        parts = self.seen.find(pieces)
+        if None in parts:
+            fresh: dict[str, tuple] = {}
+            for i, x in enumerate(parts):
+                if x is None:
+                    p = pieces[i]
+                    if (x := fresh.get(p)) is None:
+                        x = fresh[p] = self.EDGE if self._white(p) or p[-1].isspace() else self.of(p)
+                        self.seen.put(p, x)
+                    parts[i] = x
+        return self._together(pieces, parts) if self.EDGE in parts else parts
+
+    @staticmethod
+    def _white(piece: str) -> bool:
+        """Whether white space or nothing follows a piece's own space."""
+        own = piece[:1] == " "
+        return len(piece) == own or piece[own].isspace()
+
+    def _together(self, pieces: list[str], parts: list[tuple]) -> list[tuple]:
+        white = list(map(self._white, pieces))
+        ends = [w and len(p) < 2 or p[-1:].isspace() for w, p in zip(white, pieces, strict=True)]
+        out, i = [], 0
+        while i < len(pieces):
+            j = i + 1
+            while j < len(pieces) and (ends[j - 1] or white[j]):
+                j += 1
+            if j == i + 1 and parts[i] != self.EDGE:
+                out.append(parts[i])
+            elif run := "".join(pieces[i:j]):
+                if (x := self.runs.get(run)) is None:
+                    x = self.of(run)
+                    self.runs.put(run, x)
+                out.append(x)
+            i = j
+        return out
+
+
 class UnionFind:
     """Least member as root."""
 

@@ -18,12 +18,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memory, map_rows, tune
+from .common import Pieces, map_rows, tune
 
 #: Trie nodes that a worker keeps; beyond it the trie begins anew.
 NODES = 1_000_000
 #: Distinct pieces of each of the two generations that a worker remembers.
 REMEMBERED = 300_000
+#: Bytes of a pre-token beyond which it stays out of the trie, whose size it would not bound.
+LONG = 1024
 
 
 def unigram_scores(path: str) -> dict[bytes, float]:
@@ -51,6 +53,7 @@ class Trie:
             for b in reversed(piece):
                 at = at.setdefault(b, {})
             at[-1] = s
+        self.longest = max(map(len, scores))
         self._new()
 
     def _new(self) -> None:
@@ -79,7 +82,23 @@ class Trie:
             at = nxt
         return at
 
+    def alone(self, word: bytes) -> tuple[int, float]:
+        """The same for a word too long to share prefixes: scores of the last `longest` places only."""
+        size = self.longest + 1
+        best, count = [0.0] * size, [0] * size
+        for i in range(len(word)):
+            walk, top, pieces = self.last, -math.inf, 0
+            for k in range(i, max(-1, i - self.longest), -1):
+                if (walk := walk.get(word[k])) is None:
+                    break
+                if (s := walk.get(-1)) is not None and (x := best[k % size] + s) > top:
+                    top, pieces = x, count[k % size] + 1
+            best[(i + 1) % size], count[(i + 1) % size] = top, pieces
+        return count[len(word) % size], best[len(word) % size]
+
     def count_of(self, word: bytes) -> tuple[int, float]:
+        if len(word) > LONG:
+            return self.alone(word)
         if len(self.up) > NODES:
             self._new()
         n = self.insert(word)
@@ -90,31 +109,22 @@ class Counter:
     def __init__(self, path: str, pattern: str) -> None:
         self.trie = Trie(unigram_scores(path))
         self.pattern = regex.compile(pattern)
-        self.edge = regex.compile(r"^\s|\s$")
-        self.seen = Memory(REMEMBERED)
+        self.pieces = Pieces(self._of, REMEMBERED)
 
     def _of(self, text: str) -> tuple[int, int, float]:
-        got = [self.trie.count_of(x.encode()) for x in self.pattern.findall(text)]
-        return len(got), sum(n for n, _ in got), math.fsum(s for _, s in got)
+        n, total, scores = 0, 0, []
+        for x in self.pattern.finditer(text):
+            count, score = self.trie.count_of(x[0].encode())
+            n, total = n + 1, total + count
+            scores.append(score)
+        return n, total, math.fsum(scores)
 
     def count(self, text: str) -> tuple[int, int, float]:
-        """(pre-tokens, tokens, score) of a whole text; texts are cut at single spaces, at which every match of the pattern ends."""
+        """(pre-tokens, tokens, score) of a whole text."""
         if not text:
             return 0, 0, 0.0
-        pieces = text.split(" ")
-        pieces[1:] = [" " + p for p in pieces[1:]]
-        parts = self.seen.find(pieces)
-        fresh: dict[str, tuple[int, int, float]] = {}
-        for i, x in enumerate(parts):
-            if x is None:
-                p = pieces[i]
-                if (x := fresh.get(p)) is None:
-                    bare = p[1:] if p[:1] == " " else p
-                    x = fresh[p] = (-1, 0, 0.0) if not bare or self.edge.search(bare) else self._of(p)
-                    self.seen.put(p, x)
-                parts[i] = x
-        n, k, s = zip(*parts, strict=True)
-        return self._of(text) if -1 in n else (sum(n), sum(k), math.fsum(s))
+        n, k, s = zip(*self.pieces.cut(text), strict=True)
+        return sum(n), sum(k), math.fsum(s)
 
 
 @lru_cache(maxsize=2)
@@ -127,7 +137,7 @@ def count(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str
 
     path: a rank file whose ranks give the scores (unigram_scores). score: the sum of
     natural-log scores, rounded to 4 places. Null and empty texts: zeros. One row for
-    each input row, repeated ones too; no shuffle; a worker holds a trie of NODES nodes at most.
+    each input row, repeated ones too; no shuffle; a worker holds a trie of NODES + LONG nodes at most.
     """
     tune(df.sparkSession)
 
