@@ -1,11 +1,13 @@
 """Substring deduplication by repeated-phrase automata.
 
 1. Phrases that recur are confirmed: of each window the least hashed phrase is selected,
-   so equal windows select equal phrases; phrases selected at two places or more recur.
-2. For each chunk its recurring phrases are compiled into Aho-Corasick automata, in
-   shards of bounded size, and all its documents are streamed through them.
-3. Windows around located phrases are compared by hash over all chunks; those that also
-   start earlier go.
+   so equal windows select equal phrases; phrases selected at two places or more, counted over
+   all chunks, recur.
+2. The recurring phrases of each chunk are compiled, as words, into Aho-Corasick automata in shards of
+   bounded size, and all its documents are streamed through them. The hits are the only source of
+   places: a window is a candidate if the automata located its selected phrase.
+3. Candidate windows are compared by 128 bits (their own hash and their phrase's) over all chunks; those that also start earlier
+   go. What was located is staged for that last pass, which streams and hashes nothing again.
 """
 
 from __future__ import annotations
@@ -17,15 +19,19 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, lean, open_chunk, stage, stage_chunks
+from .common import CHUNK_BYTES, drop_staged, lean, open_chunk, stage, stage_chunks
 
-#: Words of a window and of a phrase; phrases of one automaton.
+#: Words of a window and of a phrase; phrases of one automaton; bits of a letter that words are spelled with there.
 WINDOW = 20
 PHRASE = 8
 SHARD = 50_000
+LETTER = 5
+#: Chunks of one phrase that are compared by one task; phrases of more chunks are reduced in levels.
+FAN = 64
 
 _M = 0x9E3779B97F4A7C15
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -75,7 +81,8 @@ def _slide(x: np.ndarray, k: int, f: np.ufunc) -> np.ndarray:
 class Chunk:
     """The words of a chunk as arrays, documents in order of id. No word becomes a Python object."""
 
-    def __init__(self, blob: bytes, window: int, phrase: int) -> None:
+    def __init__(self, blob: bytes, window: int, phrase: int, hashed: bool = True) -> None:
+        """hashed: words, windows and phrases too, and not only where words begin and end."""
         keys, texts = open_chunk(blob)
         order = sorted(range(len(keys)), key=lambda i: (keys[i] is None, keys[i] or 0))
         self.keys = [keys[i] for i in order]
@@ -92,10 +99,9 @@ class Chunk:
         self.starts = self.ends - self.lengths
         n, span = len(self.begin), window - phrase + 1
         self.empty = n < window
-        if self.empty:
+        if self.empty or not hashed:
             return
         self.words = self._hashes()
-        self.windows = _rolling(self.words, window)
         self.phrases = _mixed(_rolling(self.words, phrase))
         end = np.repeat(self.ends, self.lengths)
         self.valid = np.arange(n - window + 1) + window <= end[: n - window + 1]
@@ -121,54 +127,66 @@ class Chunk:
         return _mixed(h)
 
     def located(self, recurring: np.ndarray) -> np.ndarray:
-        """Places where a recurring phrase stands, by streaming the chunk through automata over word numbers."""
-        at = np.flatnonzero(self.selected & _within(self.phrases, recurring))
-        _, first = np.unique(self.phrases[at], return_index=True)
+        """Whether a recurring phrase stands at each place, by streaming the chunk through automata.
+
+        The first place of each phrase gives its words. Automata have few edges a node, as their search
+        is linear in them: each word of a shard's phrases is spelled by as many letters of LETTER bits, any other
+        word is one letter of its own.
+        """
+        at = np.flatnonzero(self.selected)
+        values, first = np.unique(self.phrases[at], return_index=True)
+        first = at[first[_within(values, recurring)]]
         found = np.zeros(len(self.phrases), bool)
         for i in range(0, len(first), SHARD):
-            places = at[first[i : i + SHARD]]
-            letters = np.unique(self.words[places[:, None] + np.arange(self.phrase)])
-            k = np.minimum(np.searchsorted(letters, self.words), len(letters) - 1)
-            code = np.where(letters[k] == self.words, k + 2, 1).astype("<u4")  # 1: a word of no phrase of the shard
-            code[code >= 0xD800] += 0x800  # not a surrogate
-            line = code.tobytes().decode("utf-32-le")
+            places = first[i : i + SHARD]
+            names = np.unique(self.words[places[:, None] + np.arange(self.phrase)])
+            k = np.minimum(np.searchsorted(names, self.words), len(names) - 1)
+            known = np.flatnonzero(names[k] == self.words)
+            letters = max(1, -(-len(names).bit_length() // LETTER))
+            size = np.ones(len(self.words), np.int64)
+            size[known] = letters
+            begin = np.cumsum(size) - size
+            code = np.full(int(size.sum()), 65, np.uint8)
+            for d in range(letters):
+                code[begin[known] + d] = 66 + (k[known] >> LETTER * d & (1 << LETTER) - 1)
+            line, length = code.tobytes().decode("latin-1"), letters * self.phrase
             automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-            for p in places.tolist():
-                automaton.add_word(line[p : p + self.phrase])
+            for p in begin[places].tolist():
+                automaton.add_word(line[p : p + length])
             automaton.make_automaton()
-            hits = np.fromiter((e for e, _ in automaton.iter(line)), np.int64)
-            found[hits - (self.phrase - 1)] = True
+            hits = np.fromiter((e for e, _ in automaton.iter(line)), np.int64) - (length - 1)
+            place = np.minimum(np.searchsorted(begin, hits), len(begin) - 1)
+            found[place[begin[place] == hits]] = True  # a hit that begins inside a word is none
         return found
 
-    def candidates(self, recurring: np.ndarray, locate: bool) -> np.ndarray:
-        """Starts of the windows whose selected phrase recurs: as located by the automata, or from what they confirmed."""
+    def candidates(self, recurring: np.ndarray) -> np.ndarray:
+        """Starts of the windows whose selected phrase the automata located."""
         if self.empty or not len(recurring):
             return np.empty(0, np.int64)
-        known = self.valid & _within(self.least, recurring)
-        if locate:
-            here = np.where(self.located(recurring), self.phrases, _NONE)
-            known &= _slide(here, self.window - self.phrase + 1, np.minimum) == self.least
-        return np.flatnonzero(known)
+        here = np.where(self.located(recurring), self.phrases, _NONE)
+        return np.flatnonzero((_slide(here, self.window - self.phrase + 1, np.minimum) == self.least) & self.valid)
 
-    def ranks(self) -> dict[int | None, int]:
-        """By id, the number of its first document."""
-        return {k: i for i, k in reversed(list(enumerate(self.keys)))}
+    def hashed_windows(self, at: np.ndarray) -> np.ndarray:
+        """(candidates, 2): the hash of each window that starts at one of the places, and that of its selected phrase."""
+        return np.stack((_rolling(self.words, self.window)[at], self.least[at]), 1)
 
-    def earliest(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(doc number, rank of its id, start in it, least candidate index with the same window) for each candidate start.
+    def earliest(self, at: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(doc number, start in it, least candidate index with the same window, whether that one is elsewhere) for each candidate start.
 
         Documents are in order of id, so the first place in the array is the earliest,
         but for documents of one id: there the start decides, then the array's order.
+        Places at one start of documents of one id are not elsewhere to each other.
         """
         doc = np.searchsorted(self.ends, at, side="right")
         start = at - self.starts[doc]
-        rank = self.ranks()
-        by_id = np.array([rank[k] for k in self.keys], np.int64)[doc]
-        order = np.lexsort((at, start, by_id)) if len(rank) < len(self.keys) else np.arange(len(at))
-        _, first, inverse = np.unique(self.windows[at][order], return_index=True, return_inverse=True)
-        back = np.empty(len(at), np.int64)
-        back[order] = order[first[inverse]]
-        return doc, by_id, start, back
+        ranks = {k: i for i, k in reversed(list(enumerate(self.keys)))}
+        by_id = np.array([ranks[k] for k in self.keys], np.int64)[doc]
+        order = np.lexsort((at, start, by_id, windows[:, 1], windows[:, 0]))
+        w = windows[order]
+        fresh = np.concatenate(([True], (w[1:] != w[:-1]).any(1)))[: len(at)]
+        first = np.empty(len(at), np.int64)
+        first[order] = order[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))]
+        return doc, start, first, (by_id != by_id[first]) | (start != start[first])
 
     def without(self, drop: np.ndarray) -> list[bytes]:
         """The words of each document that are not dropped, joined by a space."""
@@ -202,39 +220,65 @@ def _phrases(window: int, phrase: int):
     return run
 
 
-def _blocks(window: int, phrase: int):
+_ROW = {"phrase": pa.int64(), "groups": pa.int64(), "chunk": pa.int64(), "key": pa.int64(), "start": pa.int64(), "at": pa.int64(), "hashes": pa.binary()}
+_ROWS = "phrase long, groups long, chunk long, key long, start long, at long, hashes binary"
+
+
+def _table(**columns) -> pa.Table:
+    return pa.table({n: pa.array(columns.get(n, []), k) for n, k in _ROW.items()})
+
+
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length, as differences."""
+    return zstandard.compress(np.diff(np.stack(arrays), prepend=0).astype("<i8").tobytes(), 1)
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.decompress(data), "<i8").reshape(n, -1), 1)
+
+
+def _blocks(window: int, phrase: int, fan: int):
+    """Of a chunk, rows of runs of windows that are its first of their kind, to be compared with other chunks'; and one row
+    without a phrase: all candidates, the least index with the same window, and whether that is elsewhere, packed."""
+
     def run(key: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
-        names = ["phrase", "chunk", "key", "start", "hashes"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         lean()
-        if not docs.num_rows:
-            return pa.table([pa.array([], k) for k in kinds], names)
+        if not docs.num_rows or not found.num_rows:
+            return _table()
         c = Chunk(docs.column("blob")[0].as_py(), window, phrase)
-        recurring = np.sort(np.asarray(found.column("phrase")).view(np.uint64))
-        at = c.candidates(recurring, True)
+        recurring = np.asarray(found.column("phrase")).view(np.uint64)
+        order = np.argsort(recurring)
+        recurring, n = recurring[order], np.asarray(found.column("n"))[order]
+        at = c.candidates(recurring)
         if not len(at):
-            return pa.table([pa.array([], k) for k in kinds], names)
-        doc, _, start, first = c.earliest(at)
+            return _table()
+        windows = c.hashed_windows(at)
+        doc, start, first, elsewhere = c.earliest(at, windows)
+        told = _packed(at, first, elsewhere.astype(np.int64))
         mine = first == np.arange(len(at))
-        at, doc, start = at[mine], doc[mine], start[mine]
+        at, doc, start, windows = at[mine], doc[mine], start[mine], windows[mine]
         value = c.least[at]
         # Runs of consecutive windows with one selected phrase go as one row.
         cut = np.flatnonzero((at[1:] != at[:-1] + 1) | (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])) + 1
         begin = np.concatenate(([0], cut))
-        data, ends = c.windows[at].tobytes(), np.concatenate((begin[1:], [len(at)]))
-        return pa.table([
-            pa.array(value[begin].view(np.int64)),
-            pa.array(np.full(len(begin), key[0].as_py())),
-            pa.array([c.keys[d] for d in doc[begin].tolist()], pa.int64()),
-            pa.array(start[begin]),
-            pa.array([data[8 * s : 8 * e] for s, e in zip(begin.tolist(), ends.tolist(), strict=True)], pa.binary()),
-        ], names)
+        data, ends = windows[:, 0].astype("<u8").tobytes(), np.concatenate((begin[1:], [len(at)]))
+        number, size = key[0].as_py(), len(begin)
+        return _table(
+            phrase=[*value[begin].view(np.int64).tolist(), None],
+            groups=[*(-(-n[np.searchsorted(recurring, value[begin])] // fan)).tolist(), None],
+            chunk=[number] * (size + 1),
+            key=[*[c.keys[d] for d in doc[begin].tolist()], None],
+            start=[*start[begin].tolist(), None],
+            at=[*at[begin].tolist(), None],
+            hashes=[*[data[8 * s : 8 * e] for s, e in zip(begin.tolist(), ends.tolist(), strict=True)], told],
+        )
 
     return run
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by phrase, (chunk, key, start) of each window that another chunk has earlier. A run of a phrase is one unit."""
+    """Of rows sorted by phrase and group, those windows that another row of the phrase and group has earlier, as runs (chunk, at, start: how many);
+    the others as rows with a phrase, to be compared further."""
     lean()
     held: list[pa.RecordBatch] = []
 
@@ -245,31 +289,47 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = t.column("hashes").to_pylist()
         n = np.fromiter((len(x) // 8 for x in data), np.int64, len(data))
         row = np.repeat(np.arange(len(data)), n)
-        w = np.frombuffer(b"".join(data), np.uint64)
-        null = np.asarray(t.column("key").is_null())[row]
-        key = np.asarray(t.column("key").fill_null(0))[row]
-        start = np.asarray(t.column("start"))[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        phrase = np.asarray(t.column("phrase"))[row]
-        order = np.lexsort((start, key, null, w, phrase))
-        same = (w[order][1:] == w[order][:-1]) & (phrase[order][1:] == phrase[order][:-1])
-        moved = (key[order][1:] != key[order][:-1]) | (start[order][1:] != start[order][:-1]) | (null[order][1:] != null[order][:-1])
+        step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        w = np.frombuffer(b"".join(data), "<u8")
+        of = {c: np.asarray(t.column(c)) for c in ("phrase", "group", "groups", "start", "at", "chunk")}
+        null, key = np.asarray(t.column("key").is_null()), np.asarray(t.column("key").fill_null(0))
+        group, start = of["group"][row], of["start"][row] + step
+        phrase = of["phrase"][row]
+        order = np.lexsort((start, key[row], null[row], w, group, phrase))
+        same = (group[order][1:] == group[order][:-1]) & (w[order][1:] == w[order][:-1]) & (phrase[order][1:] == phrase[order][:-1])
+        moved = (key[row][order][1:] != key[row][order][:-1]) | (start[order][1:] != start[order][:-1]) | (null[row][order][1:] != null[row][order][:-1])
         # Within a run of equal windows, all that are not at the run's first (key, start).
         run = np.concatenate(([0], np.cumsum(~same)))
-        step = np.concatenate(([0], np.cumsum(moved | ~same)))
-        base = step[np.concatenate(([0], np.flatnonzero(~same) + 1))]
-        late = order[step > base[run]]
-        if len(late):
-            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(t.column("chunk"))[row[late]]), pa.array(key[late], pa.int64(), mask=null[late]), pa.array(start[late])], ["chunk", "key", "start"])
+        place = np.concatenate(([0], np.cumsum(moved | ~same)))
+        base = place[np.concatenate(([0], np.flatnonzero(~same) + 1))]
+        late = np.zeros(len(row), bool)
+        late[order[place > base[run]]] = True
+        # Runs of windows of a row that are late, or are not.
+        begin = np.concatenate(([0], np.flatnonzero((row[1:] != row[:-1]) | (late[1:] != late[:-1])) + 1))
+        end = np.concatenate((begin[1:], [len(row)]))
+        bytes_, r, late = w.tobytes(), row[begin], late[begin]
+        yield _table(
+            phrase=pa.array(of["phrase"][r], mask=late),
+            groups=of["groups"][r],
+            chunk=of["chunk"][r],
+            key=pa.array(key[r], mask=null[r]),
+            start=np.where(late, end - begin, start[begin]),
+            at=of["at"][r] + step[begin],
+            hashes=[None if x else bytes_[8 * a : 8 * b] for x, a, b in zip(late.tolist(), begin.tolist(), end.tolist(), strict=True)],
+        ).combine_chunks().to_batches()[0]
+
+    def unit(b: pa.RecordBatch, i: int) -> tuple:
+        return b.column("phrase")[i].as_py(), b.column("group")[i].as_py()
 
     for b in batches:
         if not b.num_rows:
             continue
         held.append(b)
-        if held[0].column(0)[0] == b.column(0)[b.num_rows - 1]:
+        if unit(held[0], 0) == unit(b, b.num_rows - 1):
             continue
         t = pa.Table.from_batches(held)
-        p = np.asarray(t.column("phrase"))
-        last = int(np.flatnonzero(p != p[-1])[-1]) + 1
+        p, g = np.asarray(t.column("phrase")), np.asarray(t.column("group"))
+        last = int(np.flatnonzero((p != p[-1]) | (g != g[-1]))[-1]) + 1
         yield from cut(t.slice(0, last))
         held = t.slice(last).combine_chunks().to_batches()
     if held:
@@ -277,19 +337,21 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _apply(window: int, phrase: int, out: list[str]):
-    def run(key: tuple, docs: pa.Table, recurring: pa.Table, later: pa.Table) -> pa.Table:
+    def run(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
         lean()
-        c = Chunk(docs.column("blob")[0].as_py(), window, phrase)
+        c = Chunk(docs.column("blob")[0].as_py(), window, phrase, hashed=False)
         mark = np.zeros(len(c.begin) + 1, np.int64)
-        at = c.candidates(np.sort(np.asarray(recurring.column("phrase")).view(np.uint64)), False)
-        if len(at):
-            _, by_id, start, first = c.earliest(at)
-            place, rank = by_id << 32 | start, c.ranks()
-            gone = np.fromiter((rank[k] << 32 | x for k, x in zip(later.column("key").to_pylist(), later.column("start").to_pylist(), strict=True)), np.int64)
+        own = [x for x in told.column("hashes").to_pylist() if x is not None]
+        if own:
+            at, first, elsewhere = _unpacked(own[0], 3)
+            runs = told.filter(told.column("hashes").is_null())
+            gone = np.zeros(len(c.begin) + 1, np.int64)
+            np.add.at(gone, np.asarray(runs.column("at"), np.int64), 1)
+            np.subtract.at(gone, np.asarray(runs.column("at"), np.int64) + np.asarray(runs.column("start"), np.int64), 1)
             # Equal windows of one chunk: all but those at the earliest (id, start) go; that one goes if another chunk has it earlier.
-            late = (place != place[first]) | np.isin(place[first], gone)
-            np.add.at(mark, at[late], 1)
-            np.subtract.at(mark, at[late] + window, 1)
+            late = at[(elsewhere > 0) | (np.cumsum(gone) > 0)[at[first]]]
+            np.add.at(mark, late, 1)
+            np.subtract.at(mark, late + window, 1)
         drop = np.cumsum(mark[:-1]) > 0
         removed = np.concatenate(([0], np.cumsum(drop)))[np.concatenate(([0], c.ends))]
         cols: dict[str, list] = {"key": c.keys, "n_words": c.lengths, "n_removed": np.diff(removed), "kept": c.without(drop)}
@@ -307,7 +369,7 @@ def _apply(window: int, phrase: int, out: list[str]):
 _TYPES = {"key": "long", "n_words": "long", "n_removed": "long", "kept": "string", "kept_sha256": "string"}
 
 
-def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, phrase: int = PHRASE, out: tuple[str, ...] = ("n_words", "n_removed", "kept"), chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, phrase: int = PHRASE, out: tuple[str, ...] = ("n_words", "n_removed", "kept"), chunk_bytes: int = CHUNK_BYTES, fan: int = FAN) -> DataFrame:
     """(key, *out): every document without the words of windows that also start earlier.
 
     Earlier: a smaller key, or the same key and an earlier start; null keys come last.
@@ -318,23 +380,30 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", window: int =
 
     What is shuffled: one hash for each distinct selected phrase of a chunk, then the
     windows of recurring phrases that are a chunk's first, eight bytes each. Both have at most
-    one entry a chunk for a passage, however many documents of the chunk share it.
+    one entry a chunk for a passage, however many documents of the chunk share it. A phrase
+    of more than `fan` chunks is compared in groups of some `fan` chunks first, and only what each group has earliest
+    goes on, so that no task gets more of one phrase as the input grows.
     """
     names = ["key", *out]
     chunks = stage_chunks(df, key, text, chunk_bytes)
-    seen = chunks.mapInArrow(_phrases(window, phrase), "phrase long, chunk long, again boolean")
-    by = Window.partitionBy("phrase")
-    seen = seen.withColumns({"n": F.count("*").over(by), "twice": F.max("again").over(by)})
-    recurring = stage(seen.where("n > 1 or twice").select("phrase", "chunk"), "phrases")
-    blocks = chunks.groupBy("chunk").cogroup(recurring.groupBy("chunk")).applyInArrow(_blocks(window, phrase), "phrase long, chunk long, key long, start long, hashes binary")
-    later = stage(blocks.repartition("phrase").sortWithinPartitions("phrase").mapInArrow(_later, "chunk long, key long, start long"), "later")
-    # The chunk's answers travel as rows of one kind, since a cogroup has two sides.
-    answers = recurring.select("chunk", "phrase", F.lit(None).cast("long").alias("key"), F.lit(-1).cast("long").alias("start")).unionByName(later.select("chunk", F.lit(0).cast("long").alias("phrase"), "key", "start"))
-    apply = _apply(window, phrase, names)
-
-    def both(k: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
-        first = pa.compute.equal(told.column("start"), -1)
-        return apply(k, docs, told.filter(first), told.filter(pa.compute.invert(first)))
-
-    got = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(both, ", ".join(f"{n} {_TYPES[n]}" for n in names))
+    seen = stage(chunks.mapInArrow(_phrases(window, phrase), "phrase long, chunk long, again boolean"), "selected")
+    often = seen.groupBy("phrase").agg(F.count("*").alias("n"), F.max("again").alias("twice")).where("n > 1 or twice").select("phrase", "n")
+    recurring = stage(seen.join(often, "phrase").select("phrase", "chunk", "n"), "phrases")
+    drop_staged(seen)
+    most = -(-(recurring.agg(F.max("n")).first()[0] or 0) // fan)
+    found = stage(chunks.groupBy("chunk").cogroup(recurring.groupBy("chunk")).applyInArrow(_blocks(window, phrase, fan), _ROWS), "located")
+    told = [found.where("phrase is null")]
+    left = found.where("phrase is not null")
+    while most:
+        # Phrases of several groups are compared within each; the others in whole, for the last time.
+        dealt = left.withColumn("group", F.when(F.col("groups") > 1, F.pmod(F.xxhash64("chunk"), "groups")).otherwise(-1))
+        dealt = dealt.repartition("phrase", "group").sortWithinPartitions("phrase", "group")
+        left = stage(dealt.mapInArrow(_later, _ROWS), "later")
+        told.append(left.where("phrase is null"))
+        left = left.where("phrase is not null and groups > 1").withColumn("groups", F.ceil(F.col("groups") / fan))
+        most = 0 if most == 1 else -(-most // fan)
+    answers = told[0]
+    for t in told[1:]:
+        answers = answers.unionByName(t)
+    got = chunks.groupBy("chunk").cogroup(answers.select("chunk", "at", "start", "hashes").groupBy("chunk")).applyInArrow(_apply(window, phrase, names), ", ".join(f"{n} {_TYPES[n]}" for n in names))
     return got.withColumnRenamed("key", key)

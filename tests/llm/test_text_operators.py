@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import tiktoken
 import xxhash
 from fixture import empty, frame, rows
@@ -220,4 +221,20 @@ def test_substring_dedup(spark, monkeypatch):
     for size in (8 << 20, 3000):
         got = substrings.dedup(frame(spark), out=("n_words", "n_removed", "kept_sha256"), chunk_bytes=size)
         assert table(got) == want
+    # Phrases of many chunks, compared in levels; every document is a chunk of its own.
+    assert table(substrings.dedup(frame(spark), out=("n_words", "n_removed", "kept_sha256"), chunk_bytes=1, fan=2)) == want
     assert substrings.dedup(empty(spark)).count() == 0
+
+
+def test_automata_alone_find_the_places(monkeypatch):
+    """A phrase the automata do not report is no candidate, whatever its hash says."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    sink = pa.BufferOutputStream()
+    docs = pa.table({"key": pa.array([1, 2], pa.int64()), "text": [f"a b c {passage} d", f"x {passage} y z"]})
+    with pa.ipc.new_stream(sink, docs.schema) as w:
+        w.write_table(docs)
+    chunk = substrings.Chunk(sink.getvalue().to_pybytes(), 20, 8)
+    values, times = np.unique(chunk.phrases[chunk.selected], return_counts=True)
+    assert len(chunk.candidates(values[times > 1])) >= 22
+    monkeypatch.setattr(substrings.Chunk, "located", lambda self, recurring: np.zeros(len(self.phrases), bool))
+    assert not len(chunk.candidates(values[times > 1]))
