@@ -40,17 +40,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the files of shuffles that nothing refers to any more, by a collection on the driver."""
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors.
 
-    Nothing needs the shuffles behind it any more; a collection on the driver lets Spark's cleaner
-    delete their files now. The folder goes when the application's file system closes.
+    Nothing needs the shuffles behind it any more (release). The folder goes when the application's
+    file system closes.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release(spark)
     jvm = spark.sparkContext._jvm
-    jvm.java.lang.System.gc()
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)

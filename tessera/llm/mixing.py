@@ -16,27 +16,34 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, CHUNK_BYTES, lean, open_chunk, stage, stage_chunks
+from .common import ASCII_LOWER, CHUNK_BYTES, drop_staged, lean, open_chunk, release, stage, stage_chunks
 
-#: Slots of each predictor's table at least; slots for each distinct training context and byte; registers of their count, of one context in THIN.
-SLOTS = 1 << 22
+#: Slots of a predictor's table at least; slots for each distinct training context and byte; registers of their count, of one context in THIN.
+SLOTS = 1 << 18
 ROOM = 4
 REGISTERS = 1 << 12
 THIN = 16
-#: Predictors, bytes of a segment, lanes at a time.
+#: Slots of a predictor's table at most: a bound for what is broadcast (48 MB) and counted by a task (384 MB).
+MOST = 1 << 24
+#: Predictors; bytes of a text that are spelled at a time; texts side by side.
 CONTEXTS = 3
-SEGMENT = 1024
-LANES = 2048
+SPAN = 1024
+LANES = 384
+#: Decisions after which weights move, by the spans before: from the given span on.
+STEPS = ((0, 16), (1, 32), (4, 128), (16, 256))
+#: Bytes whose decisions are counted at a time.
+PART = 1 << 18
 #: Bytes of a word's beginning that its context holds, and the base of its hash.
 REACH = 24
 BASE = 0x9E3779B97F4A7C15
@@ -84,9 +91,9 @@ class Spelling:
                 node += [n for n, _ in way]
                 bit += [b for _, b in way]
         start[65_536] = len(node)
-        self.start, self.length = start[:-1], np.diff(start).astype(np.int64)
+        self.start, self.length = start[:-1].astype(np.int32), np.diff(start).astype(np.int32)
         #: Node and bit of each decision as one number, node * 2 + bit.
-        self.step = np.array(node, np.int64) << 1 | np.array(bit, np.int64)
+        self.step = np.array(node, np.int32) << 1 | np.array(bit, np.int32)
 
 
 _POWERS: list[np.ndarray] = []
@@ -122,9 +129,9 @@ class Bytes:
         np.multiply(self.b[:-k], self.at[k:] >= k, out=out[k:])
         return out
 
-    def contexts(self, slots: int) -> np.ndarray:
-        """(CONTEXTS, bytes) hashes below slots."""
-        return (self.hashes() >> np.uint32(32 - int(math.log2(slots)))).astype(np.int32)
+    def contexts(self, slots: list[int]) -> np.ndarray:
+        """(CONTEXTS, bytes) hashes, each predictor's below its slots."""
+        return (self.hashes() >> np.array([[33 - n.bit_length()] for n in slots], np.uint32)).astype(np.int32)
 
     def hashes(self) -> np.ndarray:
         """(CONTEXTS, bytes) hashes of 32 bits."""
@@ -145,13 +152,12 @@ class Bytes:
         return np.stack([mix(two * np.uint32(3)), mix(four), mix(word ^ np.uint32(0x27D4EB2F))])
 
 
-def _decisions(x: Bytes, spelling: Spelling, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-    """(decisions of each byte, node * 2 + bit of each decision) of the bytes lo to hi."""
-    pair = x.pair[lo:hi]
+def _decisions(pair: np.ndarray, spelling: Spelling) -> tuple[np.ndarray, np.ndarray]:
+    """(decisions of each byte, node * 2 + bit of each decision) of bytes with the byte before."""
     n = spelling.length[pair]
-    ends = np.cumsum(n)
+    ends = np.cumsum(n, dtype=np.int32)
     flat = np.repeat(spelling.start[pair] - (ends - n), n)
-    flat += np.arange(len(flat))
+    flat += np.arange(len(flat), dtype=np.int32)
     return n, spelling.step.take(flat)
 
 
@@ -173,8 +179,8 @@ def _distinct(seen: np.ndarray) -> float:
     return THIN * (n * math.log(n / none) if none and got < 2.5 * n else got)
 
 
-def pair_counts(chunks: DataFrame, train) -> tuple[np.ndarray, int]:
-    """Counts (256, 256) of byte after byte in training texts, and the distinct contexts with a byte after, of the predictor with the most (within 2 % or so)."""
+def pair_counts(chunks: DataFrame, train) -> tuple[np.ndarray, list[int]]:
+    """Counts (256, 256) of byte after byte in training texts, and each predictor's distinct contexts with a byte after (within 2 % or so)."""
     size = 65_536 + CONTEXTS * REGISTERS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +194,7 @@ def pair_counts(chunks: DataFrame, train) -> tuple[np.ndarray, int]:
                 total[:65_536] += np.bincount(x.pair, minlength=65_536)
                 for lo in range(0, len(x.b), 1 << 20):
                     hi = min(lo + (1 << 20), len(x.b))
-                    for k, h in enumerate(_cut(x, 0, lo, hi)):
+                    for k, h in enumerate(_cut(x, None, lo, hi)):
                         _register(seen[k], h, x.b[lo:hi])
         k = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["pair", "n"])
@@ -197,26 +203,26 @@ def pair_counts(chunks: DataFrame, train) -> tuple[np.ndarray, int]:
     out = np.zeros(size, np.int64)
     for r in got:
         out[r.pair] = r.n if r.pair < 65_536 else r.most
-    return out[:65_536].reshape(256, 256), int(max(map(_distinct, out[65_536:].reshape(CONTEXTS, REGISTERS))))
+    return out[:65_536].reshape(256, 256), [int(_distinct(x)) for x in out[65_536:].reshape(CONTEXTS, REGISTERS)]
 
 
 def slots_for(distinct: int) -> int:
-    """The power of two that gives each distinct context and byte ROOM slots (as a byte is several decisions), SLOTS at least; hashes end at 2**31."""
-    return min(1 << 31, max(SLOTS, 1 << (ROOM * distinct - 1).bit_length()))
+    """The power of two that gives each distinct context and byte ROOM slots (as a byte is several decisions), SLOTS at least and MOST at most."""
+    return min(MOST, max(SLOTS, 1 << (ROOM * distinct - 1).bit_length()))
 
 
-def _count(spelling, train, slots: int):
+def _count(spelling, train, slots: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((CONTEXTS, slots * 2), np.int32)
+        total = [np.zeros(n * 2, np.int32) for n in slots]
         for b in batches:
             for blob in b.column(1).to_pylist():
                 lean()
                 keys, texts = open_chunk(blob)
                 x = Bytes([t for k, t in zip(keys, texts, strict=True) if train(k)])
-                for lo in range(0, len(x.b), 1 << 20):
-                    hi = min(lo + (1 << 20), len(x.b))
+                for lo in range(0, len(x.b), PART):
+                    hi = min(lo + PART, len(x.b))
                     sub = _cut(x, slots, lo, hi)
-                    n, step = _decisions(x, spelling.value, lo, hi)
+                    n, step = _decisions(x.pair[lo:hi], spelling.value)
                     for k in range(CONTEXTS):
                         # A node is less than 256, so a slot's number stays below slots.
                         at = np.repeat(sub[k].astype(np.int64) << 1, n)
@@ -225,15 +231,15 @@ def _count(spelling, train, slots: int):
         part = TaskContext.get().partitionId()
         press = zstandard.ZstdCompressor(level=1)
         for k in range(CONTEXTS):
-            for i in range(0, slots, BLOCK):
-                c = total[k, 2 * i : 2 * (i + BLOCK)]
+            for i in range(0, slots[k], BLOCK):
+                c = total[k][2 * i : 2 * (i + BLOCK)]
                 if c.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([k * (slots // BLOCK) + i // BLOCK]), pa.array([part], pa.int64()), pa.array([press.compress(c.astype("<i8").tobytes())], pa.binary())], ["block", "part", "counts"])
+                    yield pa.RecordBatch.from_arrays([pa.array([(sum(slots[:k]) + i) // BLOCK]), pa.array([part], pa.int64()), pa.array([press.compress(c.astype("<i8").tobytes())], pa.binary())], ["block", "part", "counts"])
 
     return run
 
 
-def _cut(x: Bytes, slots: int, lo: int, hi: int) -> np.ndarray:
+def _cut(x: Bytes, slots: list[int] | None, lo: int, hi: int) -> np.ndarray:
     """Contexts (no slots: their hashes) of a range of bytes: those of a view with the bytes before it that contexts hold."""
     from_ = max(0, lo - REACH - 1)
     y = Bytes.__new__(Bytes)
@@ -254,162 +260,191 @@ def _odds(t: pa.Table) -> pa.Table:
     return pa.table([pa.array([t.column("block")[0].as_py()]), pa.array([np.clip(np.rint(s), -127, 127).astype(np.int8).tobytes()], pa.binary())], ["block", "odds"])
 
 
-def tables(chunks: DataFrame, spelling, train, slots: int = SLOTS) -> np.ndarray:
-    """Log-odds (CONTEXTS, slots) of every slot from counts over all training texts.
+def tables(chunks: DataFrame, spelling, train, slots: list[int]) -> list[np.ndarray]:
+    """Log-odds of every slot of each predictor from counts over all training texts.
 
     Counts are merged in levels of MERGED partitions, so that no task gets a list that grows
-    with the input. The table has CONTEXTS * slots bytes; score() takes the slots from the distinct training contexts.
+    with the input. A table has a byte a slot; score() takes the slots from the distinct training contexts.
     """
-    counts = stage(chunks.mapInArrow(_count(spelling, train, slots), "block long, part long, counts binary"), "counts")
+    staged = counts = stage(chunks.mapInArrow(_count(spelling, train, slots), "block long, part long, counts binary"), "counts")
     parts = (counts.agg(F.max("part")).first()[0] or 0) + 1
     while parts > MERGED:
         counts = counts.groupBy("block", F.expr(f"part div {MERGED}").alias("g")).applyInArrow(_sum, "block long, part long, counts binary")
         parts = -(-parts // MERGED)
-    out = np.zeros((CONTEXTS, slots), np.int8)
+    out = np.zeros(sum(slots), np.int8)
     for r in counts.groupBy("block").applyInArrow(_odds, "block long, odds binary").collect():
-        k, i = divmod(r.block, slots // BLOCK)
-        out[k, i * BLOCK : (i + 1) * BLOCK] = np.frombuffer(r.odds, np.int8)
-    return out
-
-
-def _lanes(odds: np.ndarray, bit: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Nats of lanes, each the decisions first to first + n of odds (CONTEXTS, decisions) and bit.
-
-    Lanes are in falling order of n, so that those still going are the first ones.
+        out[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.odds, np.int8)
+    drop_staged(staged)
+    return np.split(out, np.cumsum(slots)[:-1])
+
+
+class Mixer:
+    """The weights of texts that run side by side."""
+
+    def __init__(self, lanes: int) -> None:
+        self.w = np.full((2, CONTEXTS, lanes), START, np.float32)
+        self.w[1] = 0.1
+        self.gain, self.bias = np.ones(lanes, np.float32), np.zeros(lanes, np.float32)
+        self.nats = np.zeros(lanes)
+
+    def learn(self, odds: np.ndarray, bit: np.ndarray, first: np.ndarray, n: np.ndarray, step: int) -> None:
+        """Nats of the decisions first to first + n of odds (CONTEXTS, decisions) and bit, and the weights after them.
+
+        Lanes are in falling order of n, so that those still going are the first ones. Weights move after every `step` decisions.
+        """
+        most = int(n[0]) if len(n) else 0
+        going = np.searchsorted(-n, -np.arange(0, most, step), side="left")
+        whole = np.searchsorted(-n, -np.arange(step, most + step, step), side="right")
+        ahead = np.arange(step)
+        rate, rate_2 = np.float32(-RATE * (8 / step) ** 0.5), np.float32(-RATE_2 * (8 / step) ** 0.5)
+        for t, (k, full) in enumerate(zip(going.tolist(), whole.tolist(), strict=True)):
+            # (decisions, lanes): lanes lie side by side, so that every operation runs along them.
+            at = first[:k] + (ahead + t * step)[:, None]
+            over = full < k
+            if over:
+                beyond = at >= first[:k] + n[:k]
+                at[beyond] = 0
+            x = odds.take(at, axis=1) * np.float32(1 / UNIT)
+            gate = x[1] != 0
+            w = self.w[:, :, :k]
+            z = w[0, 0] * x[0]
+            more = w[1, 0] * x[0]
+            for c in range(1, CONTEXTS):
+                z += w[0, c] * x[c]
+                more += w[1, c] * x[c]
+            more *= gate
+            z += more
+            sign = 1 - 2 * bit.take(at).astype(np.float32)
+            refined = z * self.gain[:k]
+            refined += self.bias[:k]
+            np.clip(refined, -11, 11, out=refined)
+            refined *= sign
+            e = np.exp(refined, out=refined)
+            if over:
+                e[beyond] = 0
+            q = 1 + e
+            self.nats[:k] += np.log(q.reshape(-1, 4, k).prod(1)).sum(0)
+            # The error of the refined odds, the chance of the other outcome, moves both stages.
+            e /= q
+            e *= sign
+            self.gain[:k] += rate_2 * np.float32(0.1) * np.einsum("bk,bk->k", e, z)
+            self.bias[:k] += rate_2 * e.sum(0)
+            self.w[0, :, :k] += rate * np.einsum("cbk,bk->ck", x, e)
+            e *= gate
+            self.w[1, :, :k] += rate * np.einsum("cbk,bk->ck", x, e)
+
+
+def score_texts(texts: list[bytes], spelling: Spelling, odds: list[np.ndarray]) -> np.ndarray:
+    """Natural-log probabilities of texts; equal texts are scored once.
+
+    Texts go in groups of LANES in order of length, each SPAN bytes at a time: beside the bytes and their
+    contexts, memory holds the decisions of LANES * SPAN bytes.
     """
-    lanes, most = len(n), int(n[0]) if len(n) else 0
-    going = np.searchsorted(-n, -np.arange(most), side="left")
-    w = np.full((2, CONTEXTS, lanes), START, np.float32)
-    w[1] = 0.1
-    gain, bias = np.ones(lanes, np.float32), np.zeros(lanes, np.float32)
-    total, product = np.zeros(lanes, np.float64), np.ones(lanes, np.float32)
-    s = np.empty((CONTEXTS, lanes), np.float32)
-    for t in range(most):
-        k = int(going[t])
-        at = first[:k] + t
-        x = s[:, :k]
-        for row in range(CONTEXTS):
-            np.multiply(odds[row].take(at), np.float32(1 / UNIT), out=x[row])
-        gate = (x[1] != 0).astype(np.float32)
-        y = x * gate
-        z = (w[0, :, :k] * x).sum(0)
-        z += (w[1, :, :k] * y).sum(0)
-        sign = 1 - 2 * bit[at].astype(np.float32)
-        refined = gain[:k] * z
-        refined += bias[:k]
-        np.clip(refined, -11, 11, out=refined)
-        refined *= sign
-        e = np.exp(refined, out=refined)
-        q = 1 + e
-        product[:k] *= q
-        # The error of the refined odds, the chance of the other outcome, moves both stages.
-        e /= q
-        wrong = e * sign
-        err = wrong * np.float32(-RATE)
-        w[0, :, :k] += x * err
-        w[1, :, :k] += y * err
-        gain[:k] -= np.float32(RATE_2 * 0.1) * wrong * z
-        bias[:k] -= np.float32(RATE_2) * wrong
-        if t & 3 == 3:
-            total[:k] += np.log(product[:k])
-            product[:k] = 1
-    return total + np.log(product)
-
-
-def score_texts(texts: list[bytes], spelling: Spelling, odds: np.ndarray) -> np.ndarray:
-    """Natural-log probabilities of texts; equal texts are scored once."""
-    distinct = {t: i for i, t in enumerate(dict.fromkeys(texts))}
+    distinct = {t: i for i, t in enumerate(sorted(dict.fromkeys(texts), key=len, reverse=True))}
     out = np.zeros(len(distinct))
-    slots = odds.shape[1]
+    slots = list(map(len, odds))
     x = Bytes(list(distinct))
-    # Segments: (text, from, to) in bytes of the chunk.
-    count = -(-x.size // SEGMENT)
-    text = np.repeat(np.arange(len(x.size)), count)
-    step = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-    lo = (x.end - x.size)[text] + step * SEGMENT
-    hi = np.minimum(lo + SEGMENT, x.end[text])
-    for i in range(0, len(text), LANES):
-        a, b = int(lo[i]), int(hi[min(i + LANES, len(text)) - 1])
-        ctx = _cut(x, slots, a, b)
-        n, step = _decisions(x, spelling, a, b)
-        s, node, bit = np.empty((CONTEXTS, len(step)), np.int8), step >> 1, (step & 1).astype(np.int8)
-        for k in range(CONTEXTS):
-            at = np.repeat(ctx[k].astype(np.int64), n)
-            at ^= node
-            odds[k].take(at, out=s[k], mode="clip")
-        ends = np.concatenate(([0], np.cumsum(n)))
-        j = slice(i, min(i + LANES, len(text)))
-        first, size = ends[lo[j] - a], ends[hi[j] - a] - ends[lo[j] - a]
-        order = np.argsort(-size, kind="stable")
-        got = _lanes(s, bit, first[order], size[order])
-        np.add.at(out, text[j][order], -got)
+    context = np.empty((CONTEXTS, len(x.b)), np.int32)
+    for lo in range(0, len(x.b), PART):
+        hi = min(lo + PART, len(x.b))
+        context[:, lo:hi] = _cut(x, slots, lo, hi)
+    for i in range(0, len(out), LANES):
+        begin, size = (x.end - x.size)[i : i + LANES], x.size[i : i + LANES]
+        mixer = Mixer(len(size))
+        for span in range(-(-int(size[0]) // SPAN)):
+            k = int(np.searchsorted(-size, -span * SPAN, side="left"))
+            take = np.minimum(size[:k] - span * SPAN, SPAN)
+            ends = np.cumsum(take)
+            at = np.repeat(begin[:k] + span * SPAN - (ends - take), take) + np.arange(int(ends[-1]))
+            n, step = _decisions(x.pair[at], spelling)
+            s, node, bit = np.empty((CONTEXTS, len(step)), np.int8), step >> 1, (step & 1).astype(np.int8)
+            for c in range(CONTEXTS):
+                slot = np.repeat(context[c, at], n)
+                slot ^= node
+                odds[c].take(slot, out=s[c], mode="clip")
+            total = np.concatenate(([0], np.cumsum(n)))
+            first, count = total[ends - take], total[ends] - total[ends - take]
+            order = np.argsort(-count, kind="stable")
+            part = Mixer.__new__(Mixer)
+            part.w, part.gain, part.bias, part.nats = mixer.w[:, :, order], mixer.gain[order], mixer.bias[order], mixer.nats[order]
+            part.learn(s, bit, first[order], count[order], next(b for a, b in reversed(STEPS) if span >= a))
+            mixer.w[:, :, order], mixer.gain[order], mixer.bias[order], mixer.nats[order] = part.w, part.gain, part.bias, part.nats
+        out[i : i + LANES] = -mixer.nats
     return out[[distinct[t] for t in texts]] if texts else out
 
 
+def _counted(keys: list, texts: list[bytes], train) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Of a chunk its distinct tokens in order of first use, each one's count in training texts, the tokens of all texts as places
+    in that order, and the number of tokens of each text; the end is the empty token."""
+    split = [t.translate(ASCII_LOWER).split() for t in texts]
+    for words in split:
+        words.append(b"")
+    size = np.fromiter(map(len, split), np.int64, len(split))
+    words = list(chain.from_iterable(split))
+    place = dict.fromkeys(words)
+    place = dict(zip(place, range(len(place)), strict=True))
+    at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+    learned = np.repeat(np.fromiter(map(train, keys), bool, len(keys)), size)
+    return list(place), np.bincount(at[learned], minlength=len(place)), at, size
+
+
 def _tokens(train):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(chunk, token, its count in training texts) for each distinct token of a chunk; the end is the empty token."""
+        """(chunk, place, 96-bit hash, count in training texts) for each distinct token of a chunk."""
         for b in batches:
             for n, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                keys, texts = open_chunk(blob)
-                seen: Counter = Counter()
-                rest: set = set()
-                ends = 0
-                for k, t in zip(keys, texts, strict=True):
-                    if train(k):
-                        seen.update(t.translate(ASCII_LOWER).split())
-                        ends += 1
-                    else:
-                        rest.update(t.translate(ASCII_LOWER).split())
-                seen[b""] = ends
-                rest.difference_update(seen)
-                words = [*seen, *rest]
-                yield pa.RecordBatch.from_arrays([pa.array([n] * len(words), pa.int64()), pa.array(words, pa.binary()), pa.array([*seen.values(), *[0] * len(rest)], pa.int64())], ["chunk", "token", "n"])
+                lean()
+                place, count, _, _ = _counted(*open_chunk(blob), train)
+                h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, place)), [("a", "<i8"), ("b", "<i4"), ("rest", "<i4")])
+                size = len(place)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(size, n)), pa.array(np.arange(size, dtype=np.int32)), pa.array(h["a"].copy()), pa.array(h["b"].copy()), pa.array(count)], ["chunk", "place", "a", "b", "n"])
 
     return run
 
 
-def score(df: DataFrame, train, key: str = "doc_id", text: str = "text", slots: int | None = None, chunk_bytes: int = CHUNK_BYTES // 2) -> DataFrame:
+def score(df: DataFrame, train, key: str = "doc_id", text: str = "text", slots: list[int] | None = None, chunk_bytes: int = CHUNK_BYTES // 2) -> DataFrame:
     """(key, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) of every whole text.
 
-    slots: of each predictor's table, a power of two; by default it grows with the distinct training contexts.
+    slots: of each predictor's table, powers of two, BLOCK at least; by default they grow with the distinct training contexts.
     train: function of a key that says whether its text is one to learn from. base_score: the
     log10 probability of lower-cased words and an end under add-one counts of training
     tokens; score: that of the mixed model; bits_per_byte: of the text's bytes and its end.
     Null and empty texts are the end alone. One row for each input row; rows of one key are
-    scored each. Tokens are counted once for each chunk before they are shuffled,
-    and come back once for each chunk that has them, so a common word is as many rows as there are chunks.
+    scored each; other columns are not read. Tokens are counted once for each chunk before they are shuffled (as 96-bit hashes),
+    and come back to each chunk that has them if others do too, so the commonest word is as many rows as there are chunks: its share
+    of the rows is one in the distinct tokens of a chunk, some 200,000 here.
     """
     spark = df.sparkSession
     chunks = stage_chunks(df, key, text, chunk_bytes)
     pairs, known = pair_counts(chunks, train)
     spelling = Spelling(pairs)
-    slots = slots or slots_for(known)
+    slots = slots or list(map(slots_for, known))
     shared = spark.sparkContext.broadcast(spelling)
     odds = spark.sparkContext.broadcast(tables(chunks, shared, train, slots))
-    w = Window.partitionBy("token")
-    counted = chunks.mapInArrow(_tokens(train), "chunk long, token binary, n long")
-    counted = stage(counted.withColumns({"c": F.sum("n").over(w), "first": F.row_number().over(w.orderBy("chunk")) == 1}), "tokens")
+    w = Window.partitionBy("a", "b")
+    counted = chunks.mapInArrow(_tokens(train), "chunk long, place int, a long, b int, n long")
+    counted = stage(counted.withColumns({"c": F.sum("n").over(w), "first": F.min("chunk").over(w) == F.col("chunk")}).select("chunk", "place", "c", "first", "n"), "tokens")
     total, distinct = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("first") & (F.col("c") > 0)).cast("long")), F.lit(0))).first()
     below = math.log10(total + distinct + 1)
+    release(spark)
 
     def run(k: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
         lean()
         keys, texts = open_chunk(docs.column("blob")[0].as_py())
-        c = np.asarray(told.column("c"))
-        value = dict(zip(told.column("token").to_pylist(), zip((np.log10(c + 1.0)).tolist(), (c > 0).tolist(), strict=True), strict=True))
-        n, known, base = [], [], []
-        for t in texts:
-            got = [value[x] for x in (*t.translate(ASCII_LOWER).split(), b"")]
-            n.append(len(got))
-            known.append(sum(g[1] for g in got))
-            base.append(math.fsum(g[0] for g in got) - len(got) * below)
+        _, c, at, n = _counted(keys, texts, train)
+        c[np.asarray(told.column("place"))] = np.asarray(told.column("c"))
+        ends = np.concatenate(([0], np.cumsum(n)))
+        known = np.diff(np.concatenate(([0], np.cumsum(c[at] > 0)))[ends])
+        value = np.log10(c + 1.0)[at] - below
+        base = [math.fsum(value[a:b].tolist()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        del c, at, value
+        lean()
         nats = score_texts(texts, shared.value, odds.value)
         size = np.fromiter((len(t) for t in texts), np.int64, len(texts))
         return pa.table({
-            "key": pa.array(keys, pa.int64()), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([total] * len(n), pa.int64()),
+            "key": pa.array(keys, pa.int64()), "n_tokens": pa.array(n), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(n), total)),
             "base_score": pa.array(base, pa.float64()), "score": pa.array(nats / math.log(10)), "n_bytes": pa.array(size), "bits_per_byte": pa.array(-nats / math.log(2) / (size + 1)),
         })
 
-    got = chunks.groupBy("chunk").cogroup(counted.select("chunk", "token", "c").groupBy("chunk")).applyInArrow(run, "key long, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double")
+    got = chunks.groupBy("chunk").cogroup(counted.where("c <> n").select("chunk", "place", "c").groupBy("chunk")).applyInArrow(run, "key long, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double")
     return got.withColumnRenamed("key", key)

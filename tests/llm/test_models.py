@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_lm_base_and_model(spark):
     train = mixing.is_training
-    got = mixing.score(frame(spark), train, slots=1 << 16, chunk_bytes=20_000).collect()
+    got = mixing.score(frame(spark), train, slots=[1 << 16] * 3, chunk_bytes=20_000).collect()
     tokens = [(r[0], WORD.findall(low(r[1])) + [None]) for r in rows()]
     c = Counter(t for k, ts in tokens if train(k) for t in ts)
     n, v = sum(c.values()), len(c)
@@ -27,7 +27,7 @@ def test_lm_base_and_model(spark):
     for r in got:
         assert r.train_tokens == n and r.score < 0
         assert any(r.n_tokens == a and r.n_known == b and math.isclose(r.base_score, s, rel_tol=1e-9) for a, b, s in want[r.doc_id])
-    assert mixing.score(empty(spark), train, slots=1 << 16).count() == 0
+    assert mixing.score(empty(spark), train, slots=[1 << 16] * 3).count() == 0
 
 
 def test_lm_is_a_probability():
@@ -35,20 +35,82 @@ def test_lm_is_a_probability():
     texts = [b"the cat sat on the mat", b"the dog sat", b""]
     x = mixing.Bytes(texts)
     spelling = mixing.Spelling(np.bincount(x.pair, minlength=65_536).reshape(256, 256))
-    bit = (mixing._decisions(x, spelling, 0, len(x.b))[1] & 1).astype(np.int8)
+    bit = (mixing._decisions(x.pair, spelling)[1] & 1).astype(np.int8)
     rng = np.random.default_rng(0)
     odds = rng.integers(-60, 60, (mixing.CONTEXTS, len(bit))).astype(np.int8)
+
+    def cost(z):
+        m = mixing.Mixer(1)
+        m.learn(odds, z, np.array([0]), np.array([len(z)]), 4)
+        return m.nats[0]
+
     for k in range(1, 12):
         a, b = bit[:k].copy(), bit[:k].copy()
         b[-1] ^= 1
-        cost = [mixing._lanes(odds[:, :k], z, np.array([0]), np.array([len(z)]))[0] if len(z) else 0.0 for z in (a, b, a[:-1])]
-        assert math.isclose(math.exp(-cost[0]) + math.exp(-cost[1]), math.exp(-cost[2]), rel_tol=1e-5)
+        assert math.isclose(math.exp(-cost(a)) + math.exp(-cost(b)), math.exp(-cost(a[:-1])), rel_tol=1e-5)
     # Every byte has a complete code after every byte.
     for before in (0, 32, 116):
         lengths = spelling.length[before << 8 : (before + 1) << 8]
         assert math.isclose(sum(2.0**-k for k in lengths.tolist()), 1)
 
 
+def plain_mixed(text, learned, spelling):
+    """The log10 probability of a text, decision by decision, from counts by slot."""
+
+    def decisions(t):
+        hashed = mixing.Bytes([t]).contexts([1 << 16] * 3)
+        t = t + b"\0"
+        for i, b in enumerate(t):
+            before = t[i - 1] if i else 0
+            k = before << 8 | b
+            for step in spelling.step[spelling.start[k] : spelling.start[k] + spelling.length[k]].tolist():
+                yield i, [(c, x ^ step >> 1) for c, x in enumerate(hashed[:, i].tolist())], step & 1
+
+    counts = defaultdict(lambda: [0, 0])
+    for t in learned:
+        for _, slots, bit in decisions(t):
+            for s in slots:
+                counts[s][bit] += 1
+    w, gain, bias, nats = [[mixing.START] * 3, [0.1] * 3], 1.0, 0.0, 0.0
+    todo = list(decisions(text))
+    while todo:
+        span = todo[0][0] // mixing.SPAN
+        size = [b for a, b in mixing.STEPS if span >= a][-1]
+        here = [d for d in todo[:size] if d[0] // mixing.SPAN == span]
+        todo = todo[len(here) :]
+        moved, more, shift = [[0.0] * 3, [0.0] * 3], 0.0, 0.0
+        for _, slots, bit in here:
+            x = [max(-127, min(127, round(math.log((counts[s][1] + 0.1) / (counts[s][0] + 0.1)) * 16))) / 16 for s in slots]
+            sets = [0, 1] if x[1] else [0]
+            z = sum(w[g][c] * x[c] for g in sets for c in range(3))
+            p = 1 / (1 + math.exp(-max(-11, min(11, gain * z + bias))))
+            nats -= math.log(p if bit else 1 - p)
+            err = bit - p
+            for g in sets:
+                for c in range(3):
+                    moved[g][c] += err * x[c]
+            more, shift = more + err * z, shift + err
+        rate = (8 / size) ** 0.5
+        w = [[w[g][c] + mixing.RATE * rate * moved[g][c] for c in range(3)] for g in (0, 1)]
+        gain, bias = gain + mixing.RATE_2 * rate * 0.1 * more, bias + mixing.RATE_2 * rate * shift
+    return -nats / math.log(10)
+
+
+def test_lm_score_by_brute_force(spark):
+    """Long and short texts, neighbours of any length, against one decision at a time."""
+    rng = np.random.default_rng(5)
+    words = [bytes(rng.choice(list(b"abcdeT,."), k).astype(np.uint8)) for k in (1, 2, 3, 5, 7, 30)]
+    texts = [b" ".join(words[j] for j in rng.integers(0, 6, n)) for n in (900, 1, 40, 3, 200)] + [b"", "é unseen".encode()]
+    docs = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string")
+    train = lambda k: k < 5
+    got = {r.doc_id: r.score for r in mixing.score(docs, train, slots=[1 << 16] * 3, chunk_bytes=600).collect()}
+    lower = [low(t.decode()).encode() for t in texts]
+    x = mixing.Bytes(lower[:5])
+    spelling = mixing.Spelling(np.bincount(x.pair, minlength=65_536).reshape(256, 256))
+    for i, t in enumerate(lower):
+        assert math.isclose(got[i], plain_mixed(t, lower[:5], spelling), rel_tol=1e-4), i
+
+
 def test_lm_beats_single_bytes_on_held_out_text(spark):
     """Bits per byte of held-out text well below the entropy of its single bytes."""
     got = queries.op3_lm_scores(spark, SF).where("held_out").agg(F.sum(F.col("bits_per_byte") * (F.col("n_bytes") + 1)), F.sum(F.col("n_bytes") + 1)).first()
@@ -61,9 +123,10 @@ def test_lm_beats_single_bytes_on_held_out_text(spark):
 def test_lm_views_of_contexts_agree():
     rng = np.random.default_rng(1)
     x = mixing.Bytes([bytes(rng.choice(list(b"abc \n"), k).astype(np.uint8)) for k in (500, 3, 0, 900)] + [b"x" * 400])
-    full = x.contexts(1 << 16)
+    some = [1 << 16, 1 << 18, 1 << 17]
+    full = x.contexts(some)
     for lo, hi in ((0, 700), (100, 130), (1, len(x.b)), (1500, len(x.b))):
-        assert (mixing._cut(x, 1 << 16, lo, hi) == full[:, lo:hi]).all()
+        assert (mixing._cut(x, some, lo, hi) == full[:, lo:hi]).all()
 
 
 def test_language_id_held_out(spark):
