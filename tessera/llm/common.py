@@ -45,6 +45,10 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.java.lang.System.gc()
 
 
+#: Folders of staged tables that are not dropped yet, in order.
+STAGED: list[str] = []
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors.
 
@@ -54,6 +58,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    STAGED.append(path)
     release(spark)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -61,13 +66,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(df: DataFrame) -> None:
-    """Deletes a staged table that nothing will read again."""
-    spark = df.sparkSession
+def drop_staged(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing will read again."""
+    for df in tables:
+        drop_folders(df.sparkSession, {x.rsplit("/", 1)[0] for x in df.inputFiles()})
+
+
+def drop_folders(spark: SparkSession, folders) -> None:
+    """Deletes folders of staged tables."""
     jvm = spark.sparkContext._jvm
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+    for f in folders:
         where = jvm.org.apache.hadoop.fs.Path(f)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        if (name := f.rsplit("/", 1)[-1]) in (known := {x.rsplit("/", 1)[-1]: x for x in STAGED}):
+            STAGED.remove(known[name])
 
 
 def binary(column: pa.Array) -> list[bytes]:
