@@ -80,10 +80,10 @@ class Packer:
 
         When it fits none, the fullest window is filled up by a cut and emitted.
         """
-        size = 4 * self.length
-        while len(ids) >= size:
-            self._close([[key, start, ids[:size], n]])
-            start, ids = start + self.length, ids[size:]
+        size, whole = 4 * self.length, len(ids) // (4 * self.length)
+        for at in range(0, whole * size, size):
+            self._close([[key, start + at // 4, ids[at : at + size], n]])
+        start, ids = start + whole * self.length, ids[whole * size :]
         while ids:
             need = len(ids) // 4
             fit = min((w for w in self.open if w[0] >= need), key=lambda w: w[0], default=None)

@@ -1,5 +1,6 @@
 """What the operators gather and return does not end at a fixed size."""
 
+import time
 import zlib
 
 import numpy as np
@@ -43,3 +44,14 @@ def test_packed_ids_spell_the_documents(spark):
     stop = np.zeros(1, "<u4").tobytes()
     for k, t in texts.items():
         assert b"".join(bytes(r.ids) for r in sorted(pieces, key=lambda r: r.start) if r.doc_id == k) == packing.encoder(queries.TOKENIZER).encode(t) + stop
+
+
+def test_a_very_long_document_is_packed_in_linear_time():
+    """8 M tokens took 29 s when each sequence copied the rest."""
+    ids = np.arange(8_000_000, dtype="<u4").tobytes()
+    packer = packing.Packer(1024, 4, 0)
+    begin = time.perf_counter()
+    packer.add(1, 0, ids, 8_000_000)
+    assert time.perf_counter() - begin < 5
+    out = packer.take()
+    assert [r[1] for r in out] == list(range(0, 8_000_000 // 1024 * 1024, 1024)) and b"".join(r[7] for r in out) == ids[: len(out) * 4096]
