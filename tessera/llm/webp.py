@@ -1,18 +1,19 @@
 """Media columns: lossless WebP (VP8L) with prefix codes, back-references, colour cache and all transforms.
 
 Pixels are arrays (height, width) of 32-bit ARGB. write() makes files with any of the
-features; write_plain() is the fast form for bytes as samples: one byte a pixel in the
-green channel, with a palette where few values occur, and one prefix code whose used
-symbols have equal lengths, so that reading it is one vector operation.
+features; write_samples() is the fast form for bytes as samples: one byte a pixel in the
+green channel, with prefix codes and back-references, a palette where few values occur
+and a predictor where it helps. Both are read by read().
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,10 @@ NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), ke
 BLACK = 0xFF000000
 HASH = 0x1E35A7BD
 WIDTH, MAX_HEIGHT = 64, 16_384
+#: Bytes of a file whose bits are read at once, and how far the last token may go on (58 bits and a window).
+READ, SPARE = 1 << 15, 16
+#: Shortest match worth a copy, longest copy, farthest distance, tokens spelled at once.
+SHORTEST, LONGEST, FARTHEST, SPELLED = 8, 4096, (1 << 20) - 120, 1 << 16
 
 
 class Bits:
@@ -39,15 +44,21 @@ class Bits:
         self.data, self.parts = data, []
         self.acc, self.filled = 0, 0
 
-    def read(self, n: int) -> int:
-        if not n:
-            return 0
+    def peek(self, n: int) -> int:
+        """The next n bits; zeros beyond the end."""
         at = self.at
+        chunk = int.from_bytes(self.data[at >> 3 : (at + n + 7) >> 3], "little")
+        return chunk >> (at & 7) & ((1 << n) - 1)
+
+    def skip(self, n: int) -> None:
         self.at += n
         if self.at > self.n:
             raise ValueError("the file ends early")
-        chunk = int.from_bytes(self.data[at >> 3 : (at + n + 7) >> 3], "little")
-        return chunk >> (at & 7) & ((1 << n) - 1)
+
+    def read(self, n: int) -> int:
+        value = self.peek(n)
+        self.skip(n)
+        return value
 
     def write(self, value: int, n: int) -> None:
         self.acc |= value << self.filled
@@ -69,33 +80,56 @@ def code_lengths(counts: list[int], most: int) -> list[int]:
         out[used[0]] = 1
     if len(used) < 2:
         return out
-    weights = {i: counts[i] for i in used}
+    weights = [(counts[i], i) for i in used]
     while True:
-        heap = [(w, i, (i,)) for i, w in weights.items()]
-        heapq.heapify(heap)
-        depth = dict.fromkeys(used, 0)
-        k = len(counts)
-        while len(heap) > 1:
-            (a, _, x), (b, _, y) = heapq.heappop(heap), heapq.heappop(heap)
-            for i in x + y:
-                depth[i] += 1
-            heapq.heappush(heap, (a + b, k, x + y))
-            k += 1
-        if max(depth.values()) <= most:
+        # The two least of the sorted leaves and of the merged nodes, which come in order by themselves.
+        weights.sort()
+        n = len(weights)
+        sums = [w for w, _ in weights]
+        above = [0] * (2 * n - 1)
+        leaf, node = 0, n
+        for new in range(n, 2 * n - 1):
+            total = 0
+            for _ in range(2):
+                if leaf < n and (node >= new or sums[leaf] <= sums[node]):
+                    k, leaf = leaf, leaf + 1
+                else:
+                    k, node = node, node + 1
+                above[k] = new
+                total += sums[k]
+            sums.append(total)
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[above[k]] + 1
+        if max(depth) <= most:
             break
-        weights = {i: (w + 1) // 2 for i, w in weights.items()}
-    for i, d in depth.items():
+        weights = [((w + 1) // 2, i) for w, i in weights]
+    for (_, i), d in zip(weights, depth, strict=False):
         out[i] = d
     return out
 
 
-def codes_of(lengths: list[int]) -> dict[int, tuple[int, int]]:
+def _backwards(bits: int) -> list[int]:
+    """Each number of so many bits with its bits in reverse."""
+    out = [0]
+    for k in range(bits):
+        out += [v | 1 << (bits - 1 - k) for v in out]
+    return out
+
+
+MOST = 15
+_BACKWARDS = _backwards(MOST)
+
+
+def codes_of(lengths: dict[int, int]) -> dict[int, tuple[int, int]]:
     """Symbol: (code with its first bit lowest, length), canonical."""
     out, code, last = {}, 0, 0
-    for n, s in sorted((n, s) for s, n in enumerate(lengths) if n):
+    for n, s in sorted((n, s) for s, n in lengths.items()):
         code <<= n - last
         last = n
-        out[s] = (int(f"{code:0{n}b}"[::-1], 2), n)
+        if code >> n:
+            raise ValueError("the code has too many words")
+        out[s] = (_BACKWARDS[code] >> (MOST - n), n)
         code += 1
     if out and code != 1 << last and len(out) > 1:
         raise ValueError("the code is not complete")
@@ -103,40 +137,39 @@ def codes_of(lengths: list[int]) -> dict[int, tuple[int, int]]:
 
 
 class Reading:
-    """A prefix code to read: a table by the next bits."""
+    """A prefix code to read: a table by the next bits, of symbol * 16 + length."""
 
-    def __init__(self, lengths: list[int]) -> None:
+    def __init__(self, lengths: dict[int, int]) -> None:
         codes = codes_of(lengths)
         self.only = next(iter(codes)) if len(codes) == 1 else None
-        self.lengths = lengths
-        self.most = max((n for _, n in codes.values()), default=0)
-        self.table = {}
+        self.most = 0 if self.only is not None else max((n for _, n in codes.values()), default=0)
+        self.table = np.zeros(1 << self.most, np.int32)
         for s, (c, n) in codes.items():
-            self.table[n, c] = s
+            self.table[c :: 1 << n] = s << 4 | (n if self.most else 0)
+        self.scalars: list[int] | None = None
 
     def read(self, bits: Bits) -> int:
         if self.only is not None:
             return self.only
-        c = 0
-        for n in range(1, self.most + 1):
-            c |= bits.read(1) << (n - 1)
-            if (s := self.table.get((n, c))) is not None:
-                return s
-        raise ValueError("no such code")
+        if not self.most:
+            raise ValueError("no such code")
+        if self.scalars is None:
+            self.scalars = self.table.tolist()
+        found = self.scalars[bits.peek(self.most)]
+        bits.skip(found & 15)
+        return found >> 4
 
 
 def _read_code(bits: Bits, size: int) -> Reading:
-    lengths = [0] * size
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
-        lengths[bits.read(8 if wide else 1)] = 1
-        if two:
-            lengths[bits.read(8)] = 1
-        return Reading(lengths)
+        one = bits.read(8 if wide else 1)
+        return Reading({s: 1 for s in (one, *([bits.read(8)] if two else []))})
+    lengths = [0] * size
     first = [0] * 19
     for k in range(4 + bits.read(4)):
         first[ORDER[k]] = bits.read(3)
-    code = Reading(first)
+    code = Reading({s: n for s, n in enumerate(first) if n})
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
     at, before = 0, 8
     while at < size and left:
@@ -152,7 +185,7 @@ def _read_code(bits: Bits, size: int) -> Reading:
             raise ValueError("a run of code lengths is too long")
         lengths[at : at + n] = [value] * n
         at += n
-    return Reading(lengths)
+    return Reading({s: n for s, n in enumerate(lengths) if n})
 
 
 def _write_code(bits: Bits, lengths: list[int]) -> dict[int, tuple[int, int]]:
@@ -169,13 +202,9 @@ def _write_code(bits: Bits, lengths: list[int]) -> dict[int, tuple[int, int]]:
             return {used[0]: (0, 1), used[1]: (1, 1)}
         return {used[0]: (0, 0)}
     bits.write(0, 1)
-    runs, i = [], 0
-    while i < len(lengths):
-        j = i
-        while j < len(lengths) and lengths[j] == lengths[i]:
-            j += 1
-        n, value = j - i, lengths[i]
-        i = j
+    runs = []
+    for value, same in groupby(lengths):
+        n = len(list(same))
         if value:
             runs.append((value, 0, 0))
             n -= 1
@@ -197,13 +226,13 @@ def _write_code(bits: Bits, lengths: list[int]) -> dict[int, tuple[int, int]]:
     for s in ORDER[:n]:
         bits.write(first[s], 3)
     bits.write(0, 1)
-    code = codes_of(first)
+    code = codes_of({s: n for s, n in enumerate(first) if n})
     if len(code) == 1:
         code = {s: (0, 0) for s in code}
     for s, extra, k in runs:
         bits.write(*code[s])
         bits.write(extra, k)
-    code = codes_of(lengths)
+    code = codes_of({s: lengths[s] for s in used})
     return {s: (0, 0) for s in code} if len(code) == 1 else code
 
 
@@ -231,6 +260,15 @@ def _distance(code: int, width: int) -> int:
     return max(1, x + y * width)
 
 
+@lru_cache(maxsize=16)
+def _near(width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of the near codes, and the least code of each of these distances (else 0)."""
+    far = np.array([0] + [_distance(k, width) for k in range(1, len(NEAR) + 1)])
+    codes = np.zeros(8 * width + 9, np.int64)
+    codes[far[:0:-1]] = np.arange(len(NEAR), 0, -1)
+    return far, codes
+
+
 def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     """Flat ARGB pixels of an entropy-coded image."""
     cache_bits = bits.read(4) if bits.read(1) else 0
@@ -246,7 +284,7 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     sizes = (256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     codes = [[_read_code(bits, s) for s in sizes] for _ in range(n_groups)]
     total = width * height
-    if groups is None and (fast := _read_plain(bits, codes[0], total, cache_bits)) is not None:
+    if groups is None and (fast := _read_samples(bits, codes[0], width, total, cache_bits)) is not None:
         return fast
     out: list[int] = []
     cache = [0] * (1 << cache_bits) if cache_bits else []
@@ -273,29 +311,90 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     return np.array(out, np.uint32)
 
 
-def _read_plain(bits: Bits, codes: list[Reading], total: int, cache_bits: int) -> np.ndarray | None:
-    """Literals only, other channels constant and all green codes of one length: one table lookup for all pixels."""
-    green, red, blue, alpha, _ = codes
-    used = [(s, n) for s, n in enumerate(green.lengths) if n]
-    if cache_bits or None in (red.only, blue.only, alpha.only) or not used or used[-1][0] > 255 or len({n for _, n in used}) > 1:
+def _extra(symbols: np.ndarray) -> np.ndarray:
+    """Number of extra bits of length and distance symbols."""
+    return np.where(symbols < 4, 0, (symbols - 2) >> 1)
+
+
+def _values(symbols: np.ndarray, extra: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    return np.where(symbols < 4, symbols, ((2 + (symbols & 1)) << extra) + bits) + 1
+
+
+def _read_samples(bits: Bits, codes: list[Reading], width: int, total: int, cache_bits: int) -> np.ndarray | None:
+    """An image in which only green varies, without a cache: what a token would be is read at every bit of a block at once, then the tokens that follow each other are picked."""
+    green, red, blue, alpha, dist = codes
+    if cache_bits or None in (red.only, blue.only, alpha.only) or not green.most and (green.only is None or green.only > 255):
         return None
-    rest = alpha.only << 24 | red.only << 16 | blue.only
+    rest = np.uint32(alpha.only << 24 | red.only << 16 | blue.only)
     if green.only is not None:
-        return np.full(total, rest | green.only << 8, np.uint32)
-    k = green.most
-    table = np.zeros(1 << k, np.uint32)
-    for (_, c), s in green.table.items():
-        table[c] = rest | s << 8
-    start, end = bits.at, bits.at + k * total
-    if end > bits.n:
+        return np.full(total, rest | np.uint32(green.only << 8), np.uint32)
+    near = _near(width)[0]
+    out = bytearray()
+    while len(out) < total:
+        if bits.at >= bits.n:
+            raise ValueError("the file ends early")
+        first, begin = bits.at >> 3, bits.at & 7
+        raw = np.frombuffer(bits.data[first : first + READ + SPARE] + b"\0" * SPARE, np.uint8).astype(np.uint32)
+        word = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24
+        size = min(READ, len(bits.data) - first)
+        window = (word[:size, None] >> np.arange(8, dtype=np.uint32)).ravel()
+        found = green.table.take((window & np.uint32((1 << green.most) - 1)).view(np.int32))
+        end = size * 8
+        after = np.arange(end + SPARE * 8)  # positions from the end on stay
+        after[:end] += found & 15
+        symbol = found >> 4
+        copies = np.flatnonzero(symbol > 255)
+        length = back = np.zeros(0, np.int64)
+        if len(copies):
+
+            def peek(at: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+                return (word[at >> 3] >> (at & 7).astype(np.uint32)).astype(np.int64) & ((1 << n) - 1)
+
+            at, s = after[copies], symbol[copies] - 256
+            n = _extra(s)
+            length = _values(s, n, peek(at, n))
+            at = at + n
+            d = dist.table[peek(at, dist.most)]
+            at, d = at + (d & 15), d >> 4
+            n = _extra(d)
+            back = _values(d, n, peek(at, n))
+            back = np.where(back > len(NEAR), back - len(NEAR), near[np.minimum(back, len(NEAR))])
+            after[copies] = at + n
+        # Eight tokens a step; those between are filled in afterwards.
+        two = after[after]
+        four = two[two]
+        tokens, p, follow = [], begin, memoryview(four[four])
+        while p < end:
+            tokens.append(p)
+            p = follow[p]
+        picked = np.array(tokens)
+        for jump in (four, two, after):
+            picked = np.stack((picked, jump[picked]), 1).ravel()
+        picked = picked[picked < end]
+        s = symbol[picked]
+        of = np.flatnonzero(s > 255)
+        which = np.searchsorted(copies, picked[of])
+        advance = np.ones(len(s), np.int64)
+        advance[of] = length[which]
+        k = int(np.searchsorted(np.cumsum(advance), total - len(out))) + 1
+        k = min(k, len(s))
+        literals, before = s[:k].astype(np.uint8).tobytes(), 0
+        for j, n, b in zip(of.tolist(), length[which].tolist(), back[which].tolist(), strict=True):
+            if j >= k:
+                break
+            if dist.only is None and not dist.most:
+                raise ValueError("a back-reference without distances")
+            out += literals[before:j]
+            before = j + 1
+            start = len(out) - b
+            if start < 0 or len(out) + n > total:
+                raise ValueError("a back-reference leaves the image")
+            out += out[start : start + n] if b >= n else (bytes(out[start:]) * (n // b + 1))[:n]
+        out += literals[before:]
+        bits.at = first * 8 + int(after[picked[k - 1]])
+    if bits.at > bits.n:
         raise ValueError("the file ends early")
-    raw = np.frombuffer(bits.data, np.uint8, (end + 7 >> 3) - (start >> 3), start >> 3)
-    flat = np.unpackbits(raw, bitorder="little")[start & 7 : (start & 7) + k * total].reshape(total, k)
-    bits.at = end
-    value = flat[:, 0].copy()
-    for i in range(1, k):
-        value |= flat[:, i] << np.uint8(i)
-    return table[value]
+    return np.frombuffer(out, np.uint8).astype(np.uint32) << 8 | rest
 
 
 def _split(p: np.ndarray) -> np.ndarray:
@@ -605,54 +704,151 @@ def _write_palette(bits: Bits, table: np.ndarray, index: np.ndarray) -> tuple[np
     return (packed << 8 | np.uint32(BLACK)).ravel(), inner
 
 
-def write_plain(payload: np.ndarray) -> bytes:
-    """One byte a pixel in the green channel, rows of 64; at most 16,384 rows."""
+def _entropy(data: np.ndarray) -> float:
+    """Bits that the bytes take with a perfect code of their own."""
+    n = np.bincount(data)
+    n = n[n > 0]
+    return float(len(data) * np.log2(len(data)) - (n * np.log2(n)).sum())
+
+
+def _residuals(rows: np.ndarray, mode: int) -> np.ndarray:
+    """What the predictor leaves of rows of bytes: 1 the byte to the left, 2 the one above."""
+    out = rows.copy()
+    if mode == 1:
+        out[:, 1:] -= rows[:, :-1]
+        out[1:, 0] -= rows[:-1, 0]
+    else:
+        out[1:] -= rows[:-1]
+        out[0, 1:] -= rows[0, :-1]
+    return out
+
+
+def _copies(data: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """(starts, lengths, distances) of copies, greedily from the nearest place with the same first bytes."""
+    starts, lengths, backs = [], [], []
+    n = len(data) - SHORTEST + 1
+    text = data.tobytes()
+    key = np.ndarray(n, "<u8", text + b"\0" * 8, strides=(1,)) & np.uint64((1 << 8 * SHORTEST) - 1)
+    # In order of a hash of 32 bits, by two stable passes of 16; only equal keys are matches.
+    hashed = key * np.uint64(0x9E3779B97F4A7C15)
+    order = np.argsort((hashed >> np.uint64(32)).astype(np.uint16), kind="stable")
+    order = order[np.argsort((hashed >> np.uint64(48)).astype(np.uint16)[order], kind="stable")]
+    ordered = key[order]
+    same = np.flatnonzero(ordered[1:] == ordered[:-1])
+    before = np.full(n, -1)
+    before[order[same + 1]] = order[same]
+    spots = np.flatnonzero((before >= 0) & (np.arange(n) - before <= FARTHEST))
+    at = 0
+    for i, p in zip(spots.tolist(), before[spots].tolist(), strict=True):
+        if i < at:
+            continue
+        k, most = SHORTEST, min(LONGEST, len(text) - i)
+        for step in (64, 8):
+            while k + step <= most and text[i + k : i + k + step] == text[p + k : p + k + step]:
+                k += step
+        while k < most and text[i + k] == text[p + k]:
+            k += 1
+        starts.append(i)
+        lengths.append(k)
+        backs.append(i - p)
+        at = i + k
+    return starts, lengths, backs
+
+
+def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """prefix() of many: symbols, extra bits' values, their numbers."""
+    v = values - 1
+    n = np.maximum(np.frexp(v)[1] - 2, 0)
+    small = v < 4
+    return np.where(small, v, 2 * n + 2 + (v >> n & 1)), np.where(small, 0, v & ((1 << n) - 1)), np.where(small, 0, n)
+
+
+def _spelling(code: dict[int, tuple[int, int]], size: int) -> tuple[np.ndarray, np.ndarray]:
+    words, lengths = np.zeros(size, np.uint64), np.zeros(size, np.int64)
+    for s, (c, n) in code.items():
+        words[s], lengths[s] = c, n
+    return words, lengths
+
+
+def _write_samples(bits: Bits, data: np.ndarray, width: int, alpha: int) -> bytes:
+    """The rest of a file: a main image whose green channel is data, with prefix codes and back-references."""
+    starts, lengths, backs = (np.array(x, np.int64) for x in _copies(data))
+    token = np.ones(len(data), bool)
+    if len(starts):
+        edge = np.zeros(len(data) + 1, np.int32)
+        edge[starts] += 1
+        edge[starts + lengths] -= 1
+        token = np.cumsum(edge[:-1]) == 0
+        token[starts] = True
+    at = np.flatnonzero(token)
+    symbols = data[at].astype(np.int64)
+    of = np.searchsorted(at, starts)
+    ls, l_extra, l_bits = _prefixes(lengths)
+    symbols[of] = 256 + ls
+    near = _near(width)[1]
+    close = near[np.minimum(backs, len(near) - 1)]
+    ds, d_extra, d_bits = _prefixes(np.where(close > 0, close, backs + len(NEAR)))
+    bits.write(0, 1)  # no colour cache: with one channel a literal is one symbol as well
+    bits.write(0, 1)  # one group of codes
+    green = _write_code(bits, code_lengths(np.bincount(symbols, minlength=280).tolist(), MOST))
+    for s in (0, 0, alpha):  # simple codes of one symbol
+        bits.write(1 | (s > 1) << 2, 3)
+        bits.write(s, 8 if s > 1 else 1)
+    dist = _write_code(bits, code_lengths(np.bincount(ds, minlength=40).tolist(), MOST))
+    words, sizes = _spelling(green, 280)
+    value, n = words[symbols], sizes[symbols]
+    words, sizes = _spelling(dist, 40)
+    for more, k in ((l_extra.astype(np.uint64), l_bits), (words[ds], sizes[ds]), (d_extra.astype(np.uint64), d_bits)):
+        value[of] |= more << n[of].astype(np.uint64)
+        n[of] += k
+    done = bits.bytes()
+    left = np.unpackbits(np.frombuffer(done[-1:], np.uint8), bitorder="little")[: bits.filled & 7] if bits.filled & 7 else np.zeros(0, np.uint8)
+    parts = [done[:-1] if len(left) else done]
+    for i in range(0, len(value), SPELLED):
+        k = n[i : i + SPELLED]
+        bit = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+        flat = np.concatenate((left, (np.repeat(value[i : i + SPELLED], k) >> bit.astype(np.uint64) & np.uint64(1)).astype(np.uint8)))
+        whole = len(flat) & ~7 if i + SPELLED < len(value) else len(flat)
+        parts.append(np.packbits(flat[:whole], bitorder="little").tobytes())
+        left = flat[whole:]
+    return b"".join(parts)
+
+
+def write_samples(payload: np.ndarray) -> bytes:
+    """One byte a pixel in the green channel, rows of 64; at most 16,384 rows.
+
+    A palette where at most 16 values occur, else a predictor where it saves more than its cost.
+    """
     height = len(payload) // WIDTH
     bits = _head(WIDTH, height)
-    counts = np.bincount(payload, minlength=256)
-    values = np.flatnonzero(counts)
-    data = payload
+    values = np.flatnonzero(np.bincount(payload, minlength=256))
+    data, width, alpha = payload, WIDTH, 255
     if len(values) <= 16:
         bits.write(1, 1)
         bits.write(PALETTE, 2)
         index = np.searchsorted(values, payload)
-        p, _ = _write_palette(bits, (values.astype(np.uint32) << 8) | np.uint32(BLACK), index.reshape(height, WIDTH))
+        p, width = _write_palette(bits, (values.astype(np.uint32) << 8) | np.uint32(BLACK), index.reshape(height, WIDTH))
         data = (p >> 8 & 255).astype(np.uint8)
-        values = np.flatnonzero(np.bincount(data, minlength=256))
+    else:
+        rows = payload.reshape(height, WIDTH)
+        cost = {0: _entropy(payload) - 256}
+        rest = {mode: _residuals(rows, mode).ravel() for mode in (1, 2)}
+        cost |= {mode: _entropy(r) for mode, r in rest.items()}
+        if mode := min(cost, key=cost.__getitem__):
+            bits.write(1, 1)
+            bits.write(PREDICTOR, 2)
+            bits.write(7, 3)  # blocks of 512 x 512
+            _write_image(bits, np.full(_sub(WIDTH, 9) * _sub(height, 9), mode << 8, np.uint32), 1, False)
+            data, alpha = rest[mode], 0
     bits.write(0, 1)  # no more transforms
-    bits.write(0, 1)  # no colour cache
-    bits.write(0, 1)  # one group of codes
-    k = max(1, int(len(values) - 1).bit_length()) if len(values) > 1 else 0
-    # Unused values fill the code, so that all its lengths are equal.
-    used = np.concatenate((values, np.setdiff1d(np.arange(256), values)[: (1 << k) - len(values)]))
-    lengths = [0] * 280
-    for s in used.tolist():
-        lengths[s] = max(k, 1)
-    codes = _write_code(bits, lengths)
-    for s in (0, 0, 255):
-        one = [0] * 256
-        one[s] = 1
-        _write_code(bits, one)
-    _write_code(bits, [0] * 40)
-    if k:
-        code = np.zeros(256, np.uint8)
-        for s, (c, _) in codes.items():
-            code[s] = c
-        flat = (code[data][:, None] >> np.arange(k, dtype=np.uint8) & 1).ravel()
-        head = bits.filled & 7
-        done = bits.bytes()
-        if head:
-            flat = np.concatenate((np.unpackbits(np.frombuffer(done[-1:], np.uint8), bitorder="little")[:head], flat))
-            done = done[:-1]
-        return _file(done + np.packbits(flat, bitorder="little").tobytes())
-    return _file(bits.bytes())
+    return _file(_write_samples(bits, data, width, alpha))
 
 
 def store(payload: bytes) -> bytes:
     """Bytes, a positive multiple of 64 of them, as files one after the other, each of a MiB of samples at most."""
     data = np.frombuffer(payload, np.uint8)
     size = WIDTH * MAX_HEIGHT
-    return b"".join(write_plain(data[i : i + size]) for i in range(0, len(data), size))
+    return b"".join(write_samples(data[i : i + size]) for i in range(0, len(data), size))
 
 
 def load(media: bytes) -> bytes:

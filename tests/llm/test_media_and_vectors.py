@@ -59,6 +59,44 @@ def test_media_digest(spark):
     assert webp.load(webp.store(large)) == large
 
 
+def test_stored_samples(monkeypatch):
+    r = np.random.default_rng(4)
+    words = [bytes(r.integers(97, 123, n, dtype=np.uint8)) for n in r.integers(2, 9, 300)]
+    prose = b" ".join(words[i] for i in r.zipf(1.3, 3000) % 300)
+    far = r.integers(0, 256, 40_000, dtype=np.uint8).tobytes()
+    cases = {
+        "prose": prose,
+        "zeros": b"",
+        "one value": b"a" * 5000,
+        "period": b"abc" * 3000,
+        "three values": r.integers(65, 68, 3000, dtype=np.uint8).tobytes(),
+        "noise": r.integers(0, 256, 6400, dtype=np.uint8).tobytes(),
+        "gradient": (np.cumsum(r.integers(0, 3, 64 * 300)) % 256).astype(np.uint8).tobytes(),
+        "alike rows": ((np.arange(64 * 300) % 64 * 37 + np.repeat(np.arange(300), 64) * 5 + r.integers(0, 4, 64 * 300)) % 256).astype(np.uint8).tobytes(),
+        "far copy": far + b"between" + far,
+        "long run in blocks": prose * 9 + far + prose,
+    }
+    stored = {k: webp.store(webp.padded(v)) for k, v in cases.items()}
+    fast = {k: webp.load(m) for k, m in stored.items()}
+    assert all(fast[k] == webp.padded(v) for k, v in cases.items())
+    # The reader of images with any features agrees.
+    monkeypatch.setattr(webp, "_read_samples", lambda *_: None)
+    assert {k: webp.load(m) for k, m in stored.items()} == fast
+    size = {k: len(m) / len(fast[k]) for k, m in stored.items()}
+    assert size["prose"] < 0.6 and size["far copy"] < 0.55 and size["period"] < 0.05 and size["one value"] < 0.05 and size["gradient"] < 0.5
+    assert size["noise"] < 1.1
+
+    def transform(m: bytes) -> int | None:
+        bits = webp.Bits(m[20:])
+        bits.at = 40
+        return bits.read(2) if bits.read(1) else None
+
+    assert [transform(stored[k]) for k in ("prose", "three values", "gradient", "alike rows")] == [None, webp.PALETTE, webp.PREDICTOR, webp.PREDICTOR]
+    for cut in (30, len(stored["prose"]) // 2):
+        with pytest.raises(ValueError):
+            webp.load(stored["prose"][:cut])
+
+
 SCHEMA = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("label", T.IntegerType()), T.StructField("cid", T.StringType()), T.StructField("block", T.IntegerType())])
 
 
