@@ -75,4 +75,46 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_lm_scores, op4_simhash, op5_packing, op6_bpe, op7_substring_dedup, op8_language_id, op9_media, op10_embedding_dedup, page_languages)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Words of a document from 1, the places where 20 words follow each other, and for each such sequence its first place.
+_REPEATED_WINDOWS = r"""
+with texts as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+places as (select doc_id, words, unnest(range(1, len(words) - 18)) as start from texts),
+windows as (select doc_id, start, array_to_string(list_slice(words, start, start + 19), ' ') as said from places),
+later as (
+  select doc_id, start from (select doc_id, start, row_number() over (partition by said order by doc_id, start) as nth from windows)
+  where nth > 1
+),
+gone as (select distinct doc_id, unnest(range(start, start + 20)) as at from later),
+spread as (select doc_id, unnest(words) as word, unnest(range(1, len(words) + 1)) as at from texts),
+kept as (
+  select s.doc_id, string_agg(s.word, ' ' order by s.at) as said, count(*) as n
+  from spread s left join gone g on g.doc_id = s.doc_id and g.at = s.at where g.at is null group by s.doc_id
+)
+select t.doc_id, cast(len(t.words) as bigint) as n_words, cast(len(t.words) - coalesce(k.n, 0) as bigint) as n_removed,
+  sha256(coalesce(k.said, '')) as kept_sha256
+from texts t left join kept k on k.doc_id = t.doc_id
+"""
+
+_LINKED_VECTORS = """
+with recursive usable as (
+  select vec_id, label, cast(embedding as double[]) as v from embeddings
+  where label is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+links as (
+  select a.vec_id as u, b.vec_id as w from usable a join usable b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+  where list_cosine_similarity(a.v, b.v) >= 0.98
+),
+reached as (
+  select vec_id as u, vec_id as w from embeddings
+  union
+  select r.u, l.w from reached r join links l on l.u = r.w
+),
+classes as (select u, min(w) as component_id from reached group by u),
+degrees as (select u, count(*) as n from links group by u)
+select e.vec_id, cast(coalesce(d.n, 0) as bigint) as n_links, c.component_id, e.vec_id = c.component_id as kept
+from embeddings e join classes c on c.u = e.vec_id left join degrees d on d.u = e.vec_id
+"""
+
+#: The others need hashes, tokenizers, models or files that SQL lacks; tests/llm holds them against plain Python.
+ORACLE_SQL: dict[str, str] = {"op7_substring_dedup": _REPEATED_WINDOWS, "op10_embedding_dedup": _LINKED_VECTORS}
