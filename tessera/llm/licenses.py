@@ -21,16 +21,21 @@ from .common import ASCII_LOWER, binary, map_rows, tune
 #: Base phrases and their labels.
 BASE = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
 
-#: Notices and license openings in template markup.
+#: Notices, first sentences ("-start") and whole licenses in template markup.
 TEMPLATES = {
     "apache-2.0": "licensed under the apache license <<beginOptional>>version<<endOptional>> 2 0 <<beginOptional>>the license you may not use this file except in compliance with the license<<endOptional>>",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "apache-2.0-notice": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at <<var;words=1-8>> unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<beginOptional>>1<<endOptional>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<beginOptional>>2<<endOptional>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution <<beginOptional>> <<beginOptional>>3<<endOptional>> neither the name of <<var;words=1-12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission <<endOptional>> this software is provided by <<var;words=1-8>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<var;words=1-8>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    "bsd-start": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "cc-by-notice": "licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>the<<endOptional>> <<beginOptional>>creative commons<<endOptional>> cc by <<beginOptional>>nc<<endOptional>> <<beginOptional>>nd<<endOptional>> <<beginOptional>>sa<<endOptional>> <<var;words=1-1>> 0 <<beginOptional>>international<<endOptional>> <<beginOptional>>license<<endOptional>>",
     "copyright-notice": "copyright <<beginOptional>>c<<endOptional>> <<var;words=1-8>> all rights reserved",
     "gpl-notice": "licensed under the <<beginOptional>>terms of the<<endOptional>> gnu <<beginOptional>>lesser<<endOptional>> <<beginOptional>>affero<<endOptional>> general public license <<beginOptional>>version <<var;words=1-1>> <<beginOptional>>or later<<endOptional>> <<endOptional>>",
-    "isc": "permission to use copy modify and <<beginOptional>>and or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted",
-    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<beginOptional>>the software<<endOptional>> to deal in the software without restriction <<beginOptional>>including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software<<endOptional>>",
+    "isc": "permission to use copy modify and <<beginOptional>>or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and <<var;words=1-8>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <<var;words=1-8>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "isc-start": "permission to use copy modify and <<beginOptional>>or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted",
+    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<beginOptional>>including the next paragraph<<endOptional>> shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and <<var;words=1-2>> in no event shall <<var;words=1-12>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
     "mit-notice": "released under the <<beginOptional>>terms of the<<endOptional>> mit license",
+    "mit-start": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<beginOptional>>the software<<endOptional>> to deal in the software without restriction <<beginOptional>>including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software<<endOptional>>",
+    "mpl-2.0-notice": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at <<var;words=1-8>>",
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "public-domain": "this is free and unencumbered software released into the public domain",
 }

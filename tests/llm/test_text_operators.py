@@ -238,3 +238,53 @@ def test_automata_alone_find_the_places(monkeypatch):
     assert len(chunk.candidates(values[times > 1])) >= 22
     monkeypatch.setattr(substrings.Chunk, "located", lambda self, recurring: np.zeros(len(self.phrases), bool))
     assert not len(chunk.candidates(values[times > 1]))
+
+
+def test_every_template_as_a_regular_expression():
+    """Labels of texts spelled from the templates, some with a word changed, against backtracking search."""
+    r = np.random.default_rng(5)
+
+    def spelled(template: str) -> list[str]:
+        out, skip = [], 0
+        for mark, word in licenses._MARK.findall(template):
+            if mark == "beginOptional":
+                skip += skip > 0 or r.random() < 0.4
+            elif mark == "endOptional":
+                skip -= skip > 0
+            elif not skip and mark:
+                low, high = map(int, mark.split("=")[1].split("-"))
+                out += [f"w{i}" for i in range(r.integers(low, high + 1))]
+            elif not skip:
+                out.append(word)
+        return out
+
+    def pattern(template: str) -> re.Pattern:
+        out = ""
+        for mark, word in licenses._MARK.findall(template):
+            low_high = mark.split("=")[1].replace("-", ",") if "=" in mark else ""
+            out += {"beginOptional": "(?:", "endOptional": ")?"}.get(mark, f"(?:[^ ]+ ){{{low_high}}}") if mark else re.escape(word) + " "
+        return re.compile("(?<= )" + out)
+
+    searches = {k: pattern(t) for k, t in (licenses.BASE | licenses.TEMPLATES).items()}
+    auto = licenses.Automaton(licenses.BASE | licenses.TEMPLATES)
+    seen = set()
+    for _ in range(8):
+        for name, template in licenses.TEMPLATES.items():
+            words = ["x", *spelled(template), "y"]
+            changed = r.random() < 0.5
+            if changed:
+                words[r.integers(1, len(words) - 1)] = "other"
+            line = " " + " ".join(words) + " "
+            want = {k for k, p in searches.items() if p.search(line)}
+            assert {x for x, _, _ in auto.scan([w.encode() for w in words])} == want
+            assert changed or name in want
+            seen |= want
+    assert seen >= set(licenses.TEMPLATES)
+
+
+def test_a_license_whose_later_wording_differs():
+    auto = licenses.Automaton(licenses.TEMPLATES)
+    text = re.sub(r"<<beginOptional>>.*?<<endOptional>>", " ", licenses.TEMPLATES["mit"])
+    whole = re.sub(r"<<var.*?>>", "anybody", text).encode()
+    assert {x for x, _, _ in auto.scan(licenses.words(whole))} == {"mit", "mit-start"}
+    assert {x for x, _, _ in auto.scan(licenses.words(whole.replace(b"any claim", b"each claim")))} == {"mit-start"}
