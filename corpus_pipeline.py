@@ -52,12 +52,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group stays, the one of the least id (no id comes last).
 
-    Groups are of rows, whatever their ids: shingles of five words and a likeness of 0.8 or more.
+    Groups are of rows, whatever their ids: links of SimHash within 3 bits, as in op 4, and what bands of minima
+    find beyond them, both of a likeness of 0.8 or more by shingles of five words.
     """
     rows = near.numbered(docs.select(*COLUMNS))
-    ranked = rows.select("row", F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text", "lang", "source", "n_chars"), "row").alias("place"))
-    kept = ranked.join(near.groups(rows, similarity=0.8, shingle=5), "row").groupBy("root").agg(F.min("place").alias("place"))
-    return rows.join(kept.select(F.col("place.row").alias("row")), "row", "left_semi").select(*COLUMNS)
+    found = near.groups(rows, similarity=0.8, shingle=5)
+    others = found.where("row <> root")
+    shared = stage(others.unionByName(others.select(F.col("root").alias("row"), "root").distinct()), "shared")
+    place = rows.select("row", F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text", "lang", "source", "n_chars"), "row").alias("place"))
+    kept = place.join(shared, "row").groupBy("root").agg(F.min("place").alias("place"))
+    gone = stage(shared.join(kept.select("root", F.col("place.row").alias("kept")), "root").where("row <> kept").select("row"), "gone")
+    return rows.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 @step

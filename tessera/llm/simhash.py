@@ -58,23 +58,40 @@ def _low(block: int) -> np.uint64:
     return np.uint64((1 << SPAN) - 1) << np.uint64(block * SPAN)
 
 
-def _variants(fp: np.ndarray) -> np.ndarray:
-    """(fingerprints, BLOCKS * (1 + kept bits)): each with a block cleared, as it is and with each other bit flipped."""
-    out = []
-    for k in range(BLOCKS):
-        bare = fp & ~_low(k)
-        flips = [np.uint64(0)] + [np.uint64(1) << np.uint64(i) for i in range(BITS) if i // SPAN != k]
-        out.append(bare[:, None] ^ np.array(flips, np.uint64))
-    return np.concatenate(out, 1)
+def _turned(x: np.ndarray, by: int | np.ndarray) -> np.ndarray:
+    """Rotated left by so many bits."""
+    by = np.asarray(by, np.uint64) % np.uint64(BITS)
+    return (x << by) | (x >> (np.uint64(BITS) - by) % np.uint64(BITS))
+
+
+#: Bit 0 for none, else each bit outside the lowest block.
+_FLIPS = np.array([0, *(1 << i for i in range(SPAN, BITS))], np.uint64)
+
+
+def _variants(fp: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprints, 1 + kept bits) twice: each with a block cleared, as it is and with each other bit flipped, and what gives the fingerprint back.
+
+    The block is turned to the lowest bits, where its number stands instead; the second is its value and which of _FLIPS it is.
+    """
+    turned = _turned(fp, -block * SPAN % BITS)
+    bare, value = turned & ~_low(0), (turned & _low(0)).astype(np.int32)
+    return bare[:, None] ^ _FLIPS | np.uint64(block), value[:, None] | np.arange(len(_FLIPS), dtype=np.int32) << SPAN
+
+
+def _fingerprints(variant: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The block, the variant with that block cleared and the fingerprint of rows of _variants."""
+    block = variant & _low(0)
+    bare, back = variant & ~_low(0), block * np.uint64(SPAN)
+    return block.astype(np.int32), _turned(bare, back), _turned(bare ^ _FLIPS[mark >> SPAN] | (mark & (1 << SPAN) - 1).astype(np.uint64), back)
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fps = np.asarray(b.column(0)).view(np.uint64)
         for i in range(0, len(fps), 512):
-            f = fps[i : i + 512]
-            for k, v in enumerate(np.split(_variants(f), BLOCKS, axis=1)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(v.size, k, np.int32)), pa.array(v.ravel().view(np.int64)), pa.array(np.repeat(f, v.shape[1]).view(np.int64))], ["block", "variant", "fp"])
+            for k in range(BLOCKS):
+                v, mark = _variants(fps[i : i + 512], k)
+                yield pa.RecordBatch.from_arrays([pa.array(v.ravel().view(np.int64)), pa.array(mark.ravel())], ["variant", "mark"])
 
 
 def _near() -> dict[int, np.ndarray]:
@@ -157,8 +174,7 @@ def _collide(radius: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            now = tuple(np.asarray(b.column(i)) for i in range(3))
-            now = (now[0], now[1].view(np.uint64), now[2].view(np.uint64))
+            now = _fingerprints(np.asarray(b.column(0)).view(np.uint64), np.asarray(b.column(1)))
             held.append(now)
             if held[0][1][0] == now[1][-1] and held[0][0][0] == now[0][-1]:
                 continue
@@ -182,8 +198,8 @@ def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     """
     if not 0 <= radius <= 3:
         raise ValueError("the radius is 0 to 3")
-    met = distinct.select("fp").mapInArrow(_emit, "block int, variant long, fp long")
-    met = met.repartition("variant", "block").sortWithinPartitions("variant", "block")
+    met = distinct.select("fp").mapInArrow(_emit, "variant long, mark int")
+    met = met.repartition("variant").sortWithinPartitions("variant")
     return met.mapInArrow(_collide(radius), "a long, b long")
 
 
