@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import langid, near, packing, queries, substrings
-from tessera.llm.common import STAGED, drop_folders, stage
+from tessera.llm.common import STAGED, drop_folders, release_executors, stage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -25,7 +25,7 @@ _LEFT: list[str] = []
 
 
 def step(of: Step) -> Step:
-    """A stage that deletes what the one before staged, unless docs still read it."""
+    """A stage that deletes what the one before staged, unless docs still read it, and starts with executors that hold no garbage of it."""
 
     @wraps(of)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,6 +33,7 @@ def step(of: Step) -> Step:
         if files and not any(left.rsplit("/", 1)[-1] in f for left in _LEFT for f in files):
             drop_folders(spark, [f for f in _LEFT if f in STAGED])
             _LEFT.clear()
+        release_executors(spark)
         before = set(STAGED)
         got = of(spark, docs, sf_dir)
         _LEFT.extend(f for f in STAGED if f not in before)

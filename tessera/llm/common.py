@@ -45,6 +45,12 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.java.lang.System.gc()
 
 
+def release_executors(spark: SparkSession) -> None:
+    """Collects on the executors, which give back to the system what heap they don't need: of itself a JVM keeps what it had at most."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).selectExpr("java_method('java.lang.System', 'gc') AS done").write.format("noop").mode("overwrite").save()
+
+
 #: Folders of staged tables that are not dropped yet, in order.
 STAGED: list[str] = []
 

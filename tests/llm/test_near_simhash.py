@@ -8,6 +8,7 @@ from test_near_exact import edited, jaccard
 from test_text_operators import least
 
 from tessera.llm import near, simhash
+from tessera.llm.common import release_executors
 
 
 def test_simhash_gives_the_first_candidates(spark, monkeypatch):
@@ -54,3 +55,12 @@ def test_a_crowded_bucket_ships_its_members_and_not_its_pairs(monkeypatch):
         got = {(a, b) for x in near._judge_bucket(near.FEW, 0.8, 5)(iter(t.to_batches(100))) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True)}
         assert got and all(jaccard(texts[a], texts[b]) >= 0.8 for a, b in got)
         assert least(list(range(150)), lambda i, j: (i, j) in got or (j, i) in got) == want
+
+
+def test_a_stage_starts_without_the_garbage_of_the_one_before(spark):
+    """Executors collect (here the driver's JVM is the executor's; collections asked for at once may be one)."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = full()
+    release_executors(spark)
+    assert full() > before
