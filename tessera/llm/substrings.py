@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, drop_staged, lean, open_chunk, stage, stage_chunks
+from .common import CHUNK_BYTES, drop_staged, lean, open_chunk, release_executors, stage, stage_chunks
 
 #: Words of a window and of a phrase; phrases of one automaton; bits of a letter that words are spelled with there.
 WINDOW = 20
@@ -383,27 +383,36 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", window: int =
     one entry a chunk for a passage, however many documents of the chunk share it. A phrase
     of more than `fan` chunks is compared in groups of some `fan` chunks first, and only what each group has earliest
     goes on, so that no task gets more of one phrase as the input grows.
+
+    Executors collect before each pass, so that a JVM's garbage of one is not held beside the Python workers of the next.
     """
     names = ["key", *out]
+
+    def passed(df: DataFrame, name: str) -> DataFrame:
+        release_executors(df.sparkSession)
+        return stage(df, name)
+
+    release_executors(df.sparkSession)
     chunks = stage_chunks(df, key, text, chunk_bytes)
-    seen = stage(chunks.mapInArrow(_phrases(window, phrase), "phrase long, chunk long, again boolean"), "selected")
+    seen = passed(chunks.mapInArrow(_phrases(window, phrase), "phrase long, chunk long, again boolean"), "selected")
     often = seen.groupBy("phrase").agg(F.count("*").alias("n"), F.max("again").alias("twice")).where("n > 1 or twice").select("phrase", "n")
-    recurring = stage(seen.join(often, "phrase").select("phrase", "chunk", "n"), "phrases")
+    recurring = passed(seen.join(often, "phrase").select("phrase", "chunk", "n"), "phrases")
     drop_staged(seen)
     most = -(-(recurring.agg(F.max("n")).first()[0] or 0) // fan)
-    found = stage(chunks.groupBy("chunk").cogroup(recurring.groupBy("chunk")).applyInArrow(_blocks(window, phrase, fan), _ROWS), "located")
+    found = passed(chunks.groupBy("chunk").cogroup(recurring.groupBy("chunk")).applyInArrow(_blocks(window, phrase, fan), _ROWS), "located")
     told = [found.where("phrase is null")]
     left = found.where("phrase is not null")
     while most:
         # Phrases of several groups are compared within each; the others in whole, for the last time.
         dealt = left.withColumn("group", F.when(F.col("groups") > 1, F.pmod(F.xxhash64("chunk"), "groups")).otherwise(-1))
         dealt = dealt.repartition("phrase", "group").sortWithinPartitions("phrase", "group")
-        left = stage(dealt.mapInArrow(_later, _ROWS), "later")
+        left = passed(dealt.mapInArrow(_later, _ROWS), "later")
         told.append(left.where("phrase is null"))
         left = left.where("phrase is not null and groups > 1").withColumn("groups", F.ceil(F.col("groups") / fan))
         most = 0 if most == 1 else -(-most // fan)
     answers = told[0]
     for t in told[1:]:
         answers = answers.unionByName(t)
+    release_executors(df.sparkSession)
     got = chunks.groupBy("chunk").cogroup(answers.select("chunk", "at", "start", "hashes").groupBy("chunk")).applyInArrow(_apply(window, phrase, names), ", ".join(f"{n} {_TYPES[n]}" for n in names))
     return got.withColumnRenamed("key", key)

@@ -12,7 +12,7 @@ import xxhash
 from fixture import empty, frame, rows
 from tokenizers import Tokenizer
 
-from tessera.llm import bpe, licenses, packing, queries, simhash, substrings, token_counts
+from tessera.llm import bpe, common, licenses, packing, queries, simhash, substrings, token_counts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -226,6 +226,21 @@ def test_substring_dedup(spark, monkeypatch):
     assert substrings.dedup(empty(spark)).count() == 0
 
 
+def test_substring_dedup_collects_before_each_pass(spark, monkeypatch):
+    """Executors (here the driver's JVM) start each pass without garbage, and the last one too; the driver's own collections are left out."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    monkeypatch.setattr(common, "release", lambda spark: None)
+    seen = [full()]
+    chunked, staged = substrings.stage_chunks, substrings.stage
+    monkeypatch.setattr(substrings, "stage_chunks", lambda *a: seen.append(full()) or chunked(*a))
+    monkeypatch.setattr(substrings, "stage", lambda *a: seen.append(full()) or staged(*a))
+    got = substrings.dedup(frame(spark), out=("n_words", "n_removed", "kept_sha256"))
+    seen.append(full())
+    assert len(seen) == 7 and all(a < b for a, b in zip(seen[:-1], seen[1:], strict=True))
+    assert table(got) == plain_dedup(rows())
+
+
 def test_automata_alone_find_the_places(monkeypatch):
     """A phrase the automata do not report is no candidate, whatever its hash says."""
     passage = " ".join(f"p{i}" for i in range(30))
