@@ -17,7 +17,7 @@ import heapq
 import math
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +42,9 @@ SPAN = 1024
 LANES = 384
 #: Decisions after which weights move, by the spans before: from the given span on.
 STEPS = ((0, 16), (1, 32), (4, 128), (16, 256))
-#: Bytes whose decisions are counted at a time.
-PART = 1 << 18
+#: Bytes whose decisions are counted at a time, and bytes that are hashed at a time (arrays stay in a core's cache).
+PART = 1 << 20
+HASHED = 1 << 15
 #: Bytes of a word's beginning that its context holds, and the base of its hash.
 REACH = 24
 BASE = 0x9E3779B97F4A7C15
@@ -163,7 +164,7 @@ def _decisions(pair: np.ndarray, spelling: Spelling) -> tuple[np.ndarray, np.nda
 
 def _register(seen: np.ndarray, hashes: np.ndarray, b: np.ndarray) -> None:
     """Brings the registers (HyperLogLog) up to date with contexts and the bytes after them."""
-    k = np.flatnonzero(hashes % np.uint32(THIN) == 0)
+    k = np.flatnonzero(hashes & np.uint32(THIN - 1) == 0)
     x = hashes[k].astype(np.uint64) << np.uint64(8) | b[k]
     x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ x >> np.uint64(32)) * np.uint64(0x94D049BB133111EB)
@@ -192,9 +193,9 @@ def pair_counts(chunks: DataFrame, train) -> tuple[np.ndarray, list[int]]:
                 keys, texts = open_chunk(blob)
                 x = Bytes([t for k, t in zip(keys, texts, strict=True) if train(k)])
                 total[:65_536] += np.bincount(x.pair, minlength=65_536)
-                for lo in range(0, len(x.b), 1 << 20):
-                    hi = min(lo + (1 << 20), len(x.b))
-                    for k, h in enumerate(_cut(x, None, lo, hi)):
+                for lo in range(0, len(x.b), PART):
+                    hi = min(lo + PART, len(x.b))
+                    for k, h in enumerate(_views(x, None, lo, hi)):
                         _register(seen[k], h, x.b[lo:hi])
         k = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["pair", "n"])
@@ -211,6 +212,20 @@ def slots_for(distinct: int) -> int:
     return min(MOST, max(SLOTS, 1 << (ROOM * distinct - 1).bit_length()))
 
 
+def _add(total: np.ndarray, context: np.ndarray, pair: np.ndarray, spelling: Spelling) -> None:
+    """Adds the decisions of bytes to counts by slot and bit; bytes of one context and pair are spelled once, in order of slots."""
+    at = context.astype(np.int64) << 16 | pair
+    at.sort()
+    begin = np.flatnonzero(np.diff(at, prepend=-1))
+    times = np.diff(begin, append=len(at)).astype(np.int32)
+    at = at[begin]
+    n, step = _decisions((at & 0xFFFF).astype(np.int32), spelling)
+    # A node is less than 256, so a slot's number stays below slots.
+    at = np.repeat(at >> 16 << 1, n)
+    at ^= step
+    np.add.at(total, at, np.repeat(times, n))
+
+
 def _count(spelling, train, slots: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = [np.zeros(n * 2, np.int32) for n in slots]
@@ -221,13 +236,8 @@ def _count(spelling, train, slots: list[int]):
                 x = Bytes([t for k, t in zip(keys, texts, strict=True) if train(k)])
                 for lo in range(0, len(x.b), PART):
                     hi = min(lo + PART, len(x.b))
-                    sub = _cut(x, slots, lo, hi)
-                    n, step = _decisions(x.pair[lo:hi], spelling.value)
-                    for k in range(CONTEXTS):
-                        # A node is less than 256, so a slot's number stays below slots.
-                        at = np.repeat(sub[k].astype(np.int64) << 1, n)
-                        at ^= step
-                        np.add.at(total[k], at, np.int32(1))
+                    for k, sub in enumerate(_views(x, slots, lo, hi)):
+                        _add(total[k], sub, x.pair[lo:hi], spelling.value)
         part = TaskContext.get().partitionId()
         press = zstandard.ZstdCompressor(level=1)
         for k in range(CONTEXTS):
@@ -247,6 +257,15 @@ def _cut(x: Bytes, slots: list[int] | None, lo: int, hi: int) -> np.ndarray:
     return (y.contexts(slots) if slots else y.hashes())[:, lo - from_ :]
 
 
+def _views(x: Bytes, slots: list[int] | None, lo: int, hi: int) -> np.ndarray:
+    """The same, HASHED bytes at a time."""
+    out = np.empty((CONTEXTS, hi - lo), np.int32 if slots else np.uint32)
+    for i in range(lo, hi, HASHED):
+        j = min(i + HASHED, hi)
+        out[:, i - lo : j - lo] = _cut(x, slots, i, j)
+    return out
+
+
 def _sum(t: pa.Table) -> pa.Table:
     total = 0
     for c in t.column("counts").to_pylist():
@@ -295,35 +314,42 @@ class Mixer:
         most = int(n[0]) if len(n) else 0
         going = np.searchsorted(-n, -np.arange(0, most, step), side="left")
         whole = np.searchsorted(-n, -np.arange(step, most + step, step), side="right")
-        ahead = np.arange(step)
-        rate, rate_2 = np.float32(-RATE * (8 / step) ** 0.5), np.float32(-RATE_2 * (8 / step) ** 0.5)
+        ahead = np.arange(step)[:, None]
+        many = 4 if step % 8 else 8  # so many chances are multiplied before a logarithm: (1 + e ** 11) ** 8 is below 2 ** 128
+        rate, rate_2 = np.float32(-RATE / UNIT * (8 / step) ** 0.5), np.float32(-RATE_2 * (8 / step) ** 0.5)
+        # A decision is one number of four bytes, so that one look-up gets its odds and its sign.
+        packed = np.empty((len(bit), 4), np.int8)
+        for c in range(CONTEXTS):
+            packed[:, c] = odds[c, : len(bit)]
+        packed[:, CONTEXTS] = 1 - 2 * bit
+        packed = packed.view(np.int32)[:, 0]
+        at = first + ahead
         for t, (k, full) in enumerate(zip(going.tolist(), whole.tolist(), strict=True)):
-            # (decisions, lanes): lanes lie side by side, so that every operation runs along them.
-            at = first[:k] + (ahead + t * step)[:, None]
-            over = full < k
-            if over:
-                beyond = at >= first[:k] + n[:k]
-                at[beyond] = 0
-            x = odds.take(at, axis=1) * np.float32(1 / UNIT)
+            if k < at.shape[1]:
+                at = at[:, :k].copy()
+            # (decisions, lanes): lanes lie side by side, so that every operation runs along them. Beyond a lane's end anything is read.
+            got = packed[t * step :].take(at, mode="clip").view(np.int8).reshape(step, k, 4)
+            both = np.empty((4, step, k), np.float32)
+            both[...] = got.transpose(2, 0, 1)
+            # Odds stay in sixteenths (a power of two, so nothing is rounded otherwise); what multiplies them is scaled.
+            x, sign = both[:CONTEXTS], both[CONTEXTS]
             gate = x[1] != 0
-            w = self.w[:, :, :k]
-            z = w[0, 0] * x[0]
-            more = w[1, 0] * x[0]
+            w = self.w[:, :, :k] * np.float32(1 / UNIT)
+            z, more, term = w[0, 0] * x[0], w[1, 0] * x[0], np.empty((step, k), np.float32)
             for c in range(1, CONTEXTS):
-                z += w[0, c] * x[c]
-                more += w[1, c] * x[c]
+                z += np.multiply(w[0, c], x[c], out=term)
+                more += np.multiply(w[1, c], x[c], out=term)
             more *= gate
             z += more
-            sign = 1 - 2 * bit.take(at).astype(np.float32)
-            refined = z * self.gain[:k]
-            refined += self.bias[:k]
-            np.clip(refined, -11, 11, out=refined)
-            refined *= sign
-            e = np.exp(refined, out=refined)
-            if over:
-                e[beyond] = 0
-            q = 1 + e
-            self.nats[:k] += np.log(q.reshape(-1, 4, k).prod(1)).sum(0)
+            e = np.multiply(z, self.gain[:k], out=more)
+            e += self.bias[:k]
+            np.clip(e, -11, 11, out=e)
+            e *= sign
+            np.exp(e, out=e)
+            if full < k:
+                e[t * step + ahead >= n[:k]] = 0
+            q = np.add(e, 1, out=term)
+            self.nats[:k] += np.log(q.reshape(-1, many, k).prod(1)).sum(0)
             # The error of the refined odds, the chance of the other outcome, moves both stages.
             e /= q
             e *= sign
@@ -344,10 +370,7 @@ def score_texts(texts: list[bytes], spelling: Spelling, odds: list[np.ndarray])
     out = np.zeros(len(distinct))
     slots = list(map(len, odds))
     x = Bytes(list(distinct))
-    context = np.empty((CONTEXTS, len(x.b)), np.int32)
-    for lo in range(0, len(x.b), PART):
-        hi = min(lo + PART, len(x.b))
-        context[:, lo:hi] = _cut(x, slots, lo, hi)
+    context = _views(x, slots, 0, len(x.b))
     for i in range(0, len(out), LANES):
         begin, size = (x.end - x.size)[i : i + LANES], x.size[i : i + LANES]
         mixer = Mixer(len(size))
@@ -381,9 +404,9 @@ def _counted(keys: list, texts: list[bytes], train) -> tuple[list[bytes], np.nda
         words.append(b"")
     size = np.fromiter(map(len, split), np.int64, len(split))
     words = list(chain.from_iterable(split))
-    place = dict.fromkeys(words)
-    place = dict(zip(place, range(len(place)), strict=True))
-    at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+    place: dict[bytes, int] = {}
+    at = np.fromiter(map(place.setdefault, words, count()), np.int64, len(words))  # where each token is first
+    at = (np.cumsum(at == np.arange(len(at))) - 1)[at]
     learned = np.repeat(np.fromiter(map(train, keys), bool, len(keys)), size)
     return list(place), np.bincount(at[learned], minlength=len(place)), at, size
 

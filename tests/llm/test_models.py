@@ -129,6 +129,24 @@ def test_lm_views_of_contexts_agree():
         assert (mixing._cut(x, some, lo, hi) == full[:, lo:hi]).all()
 
 
+def test_lm_counts_spell_a_context_and_pair_once(monkeypatch):
+    """Counts of a text that repeats itself: those of every decision, for the work of the distinct ones."""
+    texts = [b"the cat sat on the mat. " * 2000, bytes(np.random.default_rng(3).choice(list(b"abc \n"), 3000).astype(np.uint8))]
+    x = mixing.Bytes(texts)
+    spelling = mixing.Spelling(np.bincount(x.pair, minlength=65_536).reshape(256, 256))
+    slots = [1 << 16, 1 << 18, 1 << 17]
+    n, step = mixing._decisions(x.pair, spelling)
+    spelled, decisions = [], mixing._decisions
+    monkeypatch.setattr(mixing, "_decisions", lambda pair, s: spelled.append(len(pair)) or decisions(pair, s))
+    for k, sub in enumerate(mixing._views(x, slots, 0, len(x.b))):
+        assert (sub == x.contexts(slots)[k]).all()
+        want, got = np.zeros(slots[k] * 2, np.int32), np.zeros(slots[k] * 2, np.int32)
+        np.add.at(want, np.repeat(sub.astype(np.int64) << 1, n) ^ step, 1)
+        mixing._add(got, sub, x.pair, spelling)
+        assert (got == want).all()
+    assert max(spelled) < 0.1 * len(x.b)
+
+
 def test_language_id_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     train, test = docs.where("doc_id % 5 <> 0"), docs.where("doc_id % 5 = 0")
