@@ -17,10 +17,10 @@ import heapq
 import math
 import zlib
 from collections.abc import Iterator
-from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -216,7 +216,7 @@ def _add(total: np.ndarray, context: np.ndarray, pair: np.ndarray, spelling: Spe
     """Adds the decisions of bytes to counts by slot and bit; bytes of one context and pair are spelled once, in order of slots."""
     at = context.astype(np.int64) << 16 | pair
     at.sort()
-    begin = np.flatnonzero(np.diff(at, prepend=-1))
+    begin = np.flatnonzero(np.concatenate(([len(at) > 0], at[1:] != at[:-1])))
     times = np.diff(begin, append=len(at)).astype(np.int32)
     at = at[begin]
     n, step = _decisions((at & 0xFFFF).astype(np.int32), spelling)
@@ -396,19 +396,23 @@ def score_texts(texts: list[bytes], spelling: Spelling, odds: list[np.ndarray])
     return out[[distinct[t] for t in texts]] if texts else out
 
 
-def _counted(keys: list, texts: list[bytes], train) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """Of a chunk its distinct tokens in order of first use, each one's count in training texts, the tokens of all texts as places
-    in that order, and the number of tokens of each text; the end is the empty token."""
-    split = [t.translate(ASCII_LOWER).split() for t in texts]
-    for words in split:
-        words.append(b"")
-    size = np.fromiter(map(len, split), np.int64, len(split))
-    words = list(chain.from_iterable(split))
-    place: dict[bytes, int] = {}
-    at = np.fromiter(map(place.setdefault, words, count()), np.int64, len(words))  # where each token is first
-    at = (np.cumsum(at == np.arange(len(at))) - 1)[at]
+def _counted(keys: list, texts: list[bytes], train) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a chunk its distinct tokens (binary) in order of first use, each one's count in training texts, the tokens of all texts as
+    places in that order, and the number of tokens of each text; the end is the empty token, the last in the order."""
+    # Arrow splits at the same bytes as bytes.split and makes no object of a word; beside white space at a text's edge it has empty words.
+    split = pa.compute.ascii_split_whitespace(pa.compute.ascii_lower(pa.array(texts, pa.binary()).view(pa.string())))
+    words = split.flatten()
+    full = pa.compute.not_equal(pa.compute.binary_length(words), 0)
+    ends = np.concatenate(([0], np.cumsum(full.to_numpy(zero_copy_only=False))))[split.offsets.to_numpy()] + np.arange(len(texts) + 1)
+    coded = words.filter(full).dictionary_encode()
+    inside = np.ones(int(ends[-1]), bool)
+    inside[ends[1:] - 1] = False
+    at = np.full(len(inside), len(coded.dictionary))
+    at[inside] = coded.indices.to_numpy()
+    size = np.diff(ends)
     learned = np.repeat(np.fromiter(map(train, keys), bool, len(keys)), size)
-    return list(place), np.bincount(at[learned], minlength=len(place)), at, size
+    place = pa.concat_arrays([coded.dictionary.view(pa.binary()), pa.array([b""] if texts else [], pa.binary())])
+    return place, np.bincount(at[learned], minlength=len(place)), at, size
 
 
 def _tokens(train):
@@ -418,7 +422,7 @@ def _tokens(train):
             for n, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 lean()
                 place, count, _, _ = _counted(*open_chunk(blob), train)
-                h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, place)), [("a", "<i8"), ("b", "<i4"), ("rest", "<i4")])
+                h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, place.to_numpy(zero_copy_only=False))), [("a", "<i8"), ("b", "<i4"), ("rest", "<i4")])
                 size = len(place)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(size, n)), pa.array(np.arange(size, dtype=np.int32)), pa.array(h["a"].copy()), pa.array(h["b"].copy()), pa.array(count)], ["chunk", "place", "a", "b", "n"])
 

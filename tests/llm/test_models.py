@@ -1,5 +1,6 @@
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -147,6 +148,25 @@ def test_lm_counts_spell_a_context_and_pair_once(monkeypatch):
     assert max(spelled) < 0.1 * len(x.b)
 
 
+def test_lm_tokens_of_a_chunk_make_no_objects():
+    """Tokens as bytes.split has them after lower-casing A-Z, in a few numbers each (objects: 78 bytes a token)."""
+    odd = [b"", b" ", bytes(range(1, 128)) * 2, "É ß x\u00a0y\x85z\u2003İ K".encode(), b" a", b"A\x00 ", b"\t\n\x0b\x0c\rA  b\x1cc", b"", b"A" * 100, b"a b a"]
+    for texts in (odd, odd[:1], odd[1:2], odd[::-1], []):
+        keys = [None, *range(len(texts))][: len(texts)]
+        place, count, at, size = mixing._counted(keys, texts, mixing.is_training)
+        split = [[*low(t.decode()).encode().split(), b""] for t in texts]
+        learned = Counter(w for k, words in zip(keys, split, strict=True) if mixing.is_training(k) for w in words)
+        place = place.to_pylist()
+        assert [place[i] for i in at.tolist()] == sum(split, []) and size.tolist() == list(map(len, split))
+        assert len(set(place)) == len(place) and count.tolist() == [learned[w] for w in place]
+    texts = [b"The cat sat on the mat. " * 400] * 100
+    tracemalloc.start()
+    at = mixing._counted(list(range(100)), texts, mixing.is_training)[2]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(at) == 240_100 and most < 40 * len(at)
+
+
 def test_language_id_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     train, test = docs.where("doc_id % 5 <> 0"), docs.where("doc_id % 5 = 0")
